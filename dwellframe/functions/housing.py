@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.functions.numbers import (
@@ -142,52 +142,51 @@ def unit_from_total(total: Column, area: Column) -> Column:
     return round_half_even(total * 10000.0 / area, 2)
 
 
-def repair_price(total: Column, unit: Column, area: Column, title: Column) -> Column:
-    """Undo unit damage in the total price and say which rule acted.
+def repair_prices(df: DataFrame, total: str, unit: str, area: str, title: str, touch: Column) -> DataFrame:
+    """Undo unit damage in the total price of the ``touch`` rows; adds ``repair_rule``.
 
-    The returned struct has ``total_price``, ``unit_price`` and ``rule``:
-    ``invalid`` (not positive), ``kept``, ``unit`` (unit price off by more than
-    five times), ``title``, ``divided`` and ``divided_other``.
+    Rules: ``invalid`` (not positive), ``kept``, ``unit`` (unit price off by
+    more than five times), ``title`` (price named in the title, 3 to 3000),
+    ``divided`` (by 100,000 from ten million up, else by 10,000) and
+    ``divided_other`` (by the other divisor when the first leaves the price
+    above 5000). Steps are separate projections so that every rounded quantity
+    is computed once.
     """
-    total = F.coalesce(total, F.lit(0.0))
-    unit0 = F.coalesce(unit, F.lit(0.0))
-    has_area = F.coalesce(area > 0, F.lit(False))
-    expected = F.when(has_area, unit_from_total(total, area))
-    unit_off = has_area & (unit0 > 0) & (
-        (unit0 > expected * 5) | (unit0 < expected / F.lit(5.0)))
-
-    titled = price_from_title(title)
-    title_ok = F.coalesce((titled >= 3) & (titled <= 3000), F.lit(False))
-    by_1e5 = round_half_even(total / F.lit(1e5), 4)
-    by_1e4 = round_half_even(total / F.lit(1e4), 4)
-    large = total >= 1e7
-    first = F.when(large, by_1e5).otherwise(by_1e4)
-    second = F.when(large, by_1e4).otherwise(by_1e5)
-    first_ok = (first > 0) & (first <= 5000)
-
-    rule = (
-        F.when(total <= 0, "invalid")
-        .when((total <= 1000) & unit_off, "unit")
-        .when(total <= 1000, "kept")
-        .when(title_ok, "title")
-        .when(first_ok, "divided")
-        .otherwise("divided_other")
-    )
-    new_total = (
-        F.when(total <= 1000, total)
-        .when(title_ok, round_half_even(titled, 2))
-        .when(first_ok, first)
-        .otherwise(second)
-    )
-    # The title price feeds the unit price before it is rounded itself.
-    basis = F.when(title_ok, titled).otherwise(new_total)
-    new_unit = (
-        F.when(total <= 0, unit)
-        .when(total <= 1000, F.when(unit_off, expected).otherwise(unit))
-        .when(has_area, unit_from_total(basis, area))
-        .otherwise(unit)
-    )
-    return F.struct(new_total.alias("total_price"), new_unit.alias("unit_price"), rule.alias("rule"))
+    c = F.col
+    large = c("_t") >= 1e7
+    df = df.withColumns({
+        "_t": F.coalesce(c(total), F.lit(0.0)), "_touch": touch,
+        "_tt": F.coalesce(price_from_title(c(title)), F.lit(0.0)),
+    })
+    df = df.withColumns({
+        "_a": c("_t") / F.when(large, 1e5).otherwise(1e4),
+        "_b": c("_t") / F.when(large, 1e4).otherwise(1e5),
+        "_titled": (c("_tt") >= 3) & (c("_tt") <= 3000),
+        "_high": c("_t") > 1000,
+    })
+    df = df.withColumns({"_a": round_half_even(c("_a"), 4), "_b": round_half_even(c("_b"), 4),
+                         "_tr": round_half_even(c("_tt"), 2)})
+    df = df.withColumn("_ok", (c("_a") > 0) & (c("_a") <= 5000))
+    df = df.withColumns({
+        "_new": F.when(~c("_high"), c("_t")).when(c("_titled"), c("_tr"))
+                 .when(c("_ok"), c("_a")).otherwise(c("_b")),
+        # The title price feeds the unit price before it is rounded itself.
+        "_per": F.when(c(area) > 0, F.when(~c("_high"), c("_t")).when(c("_titled"), c("_tt"))
+                       .when(c("_ok"), c("_a")).otherwise(c("_b")) * 10000.0 / c(area)),
+    })
+    df = df.withColumn("_per", round_half_even(c("_per"), 2))
+    known = F.coalesce(c(unit), F.lit(0.0))
+    off = F.coalesce((known > 0) & ((known > c("_per") * 5) | (known < c("_per") / F.lit(5.0))), F.lit(False))
+    df = df.withColumn("repair_rule",
+                       F.when(~c("_touch"), "kept").when(c("_t") <= 0, "invalid")
+                       .when(~c("_high") & off, "unit").when(~c("_high"), "kept")
+                       .when(c("_titled"), "title").when(c("_ok"), "divided").otherwise("divided_other"))
+    keep_unit = c("repair_rule").isin("invalid", "kept") | c("_per").isNull()
+    df = df.withColumns({
+        total: F.when(c("_touch"), c("_new")).otherwise(c("_t")),
+        unit: F.when(keep_unit, c(unit)).otherwise(c("_per")),
+    })
+    return df.drop("_t", "_tt", "_tr", "_touch", "_a", "_b", "_titled", "_high", "_ok", "_new", "_per")
 
 
 def price_was_fixed(before: Column, after: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellframe.functions.numbers import fixed_text, to_double, to_int
+from dwellframe.functions.numbers import as_double, fixed_text, to_double, to_int
 from dwellframe.functions.text import or_blank, prefix
-from dwellframe.schema import SOURCE_A, SOURCE_B
+from dwellframe.schema import SOURCE_B
 
 
 def fingerprint(parts: list[Column], prefix_text: str = "", length: int = 32) -> Column:
@@ -15,41 +15,44 @@ def fingerprint(parts: list[Column], prefix_text: str = "", length: int = 32) ->
     return F.concat(F.lit(prefix_text), F.left(F.md5(F.concat_ws("|", *parts)), F.lit(length)))
 
 
-def _num(c: Column) -> Column:
-    return to_double(c.cast("string"), 0.0)
+def with_stored_fingerprint(df: DataFrame) -> DataFrame:
+    """Add the key of a cleaned listing; source B listings with an id use that id.
 
-
-def _int_text(c: Column) -> Column:
-    return to_int(c.cast("string"), 0).cast("string")
-
-
-def stored_fingerprint(title, community, district, area, rooms, total_price,
-                       source: Column | None = None, source_id: Column | None = None) -> Column:
-    """Key of a cleaned listing; source B listings with an id use that id."""
+    The hash covers 60 characters of title, community, district, area and price
+    with one decimal, and rooms.
+    """
+    c = F.col
+    df = df.withColumns({"_area": as_double(df, "area", 0.0),
+                         "_price": as_double(df, "total_price", 0.0)})
     hashed = fingerprint(
-        [prefix(or_blank(title), 60), or_blank(community), or_blank(district),
-         fixed_text(_num(area), 1), _int_text(rooms), fixed_text(_num(total_price), 1)],
+        [prefix(or_blank(c("title")), 60), or_blank(c("community")), or_blank(c("district")),
+         fixed_text(c("_area"), 1), to_int(c("rooms").cast("string"), 0).cast("string"),
+         fixed_text(c("_price"), 1)],
         "ajk_", 16)
-    if source is None:
-        return hashed
-    sid = or_blank(source_id)
-    return F.when((source == SOURCE_B) & (sid != ""), F.concat(F.lit("lj_"), sid)).otherwise(hashed)
+    sid = or_blank(c("source_id"))
+    by_id = (c("source") == SOURCE_B) & (sid != "")
+    return df.withColumn("fingerprint", F.when(by_id, F.concat(F.lit("lj_"), sid)).otherwise(hashed)).drop(
+        "_area", "_price")
 
 
-def feed_fingerprint(community, district, area, rooms, total_price) -> Column:
-    """Full-length key over community, district, area, rooms and price.
+def with_feed_fingerprint(df: DataFrame) -> DataFrame:
+    """Add the full-length key over community, district, area, rooms and price.
 
     A number that cannot be read prints as '0', a readable zero as '0.0'.
     """
-    def one_digit(c: Column) -> Column:
-        text = F.btrim(c.cast("string"))
-        value = to_double(text)
-        return (F.when(F.coalesce(text, F.lit("")) == "", F.lit("0"))
-                .when(value.isNull(), F.lit("0"))
-                .otherwise(fixed_text(value, 1)))
-    return fingerprint(
-        [or_blank(community), or_blank(district), one_digit(area), _int_text(rooms),
-         one_digit(total_price)])
+    c = F.col
+
+    def number(name: str) -> Column:
+        text = F.btrim(c(name).cast("string"))
+        return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(to_double(text))
+
+    def shown(name: str) -> Column:
+        return F.coalesce(fixed_text(c(name), 1), F.lit("0"))
+
+    df = df.withColumns({"_area": number("area"), "_price": number("total_price")})
+    key = fingerprint([or_blank(c("community")), or_blank(c("district")), shown("_area"),
+                       to_int(c("rooms").cast("string"), 0).cast("string"), shown("_price")])
+    return df.withColumn("fingerprint", key).drop("_area", "_price")
 
 
 def id_fingerprint(source_id: Column) -> Column:
@@ -73,9 +76,3 @@ def cross_file_key(title, community, district, source) -> Column:
 def stable_key(*columns: Column) -> Column:
     """Upsert key from columns that do not change over a listing's life."""
     return fingerprint([or_blank(c.cast("string")) for c in columns])
-
-
-__all__ = [
-    "SOURCE_A", "cross_file_key", "feed_fingerprint", "fingerprint", "id_fingerprint",
-    "stable_key", "stored_fingerprint", "synthetic_fingerprint",
-]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -15,6 +16,14 @@ def to_double(c: Column, default: float | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
+def as_double(df: DataFrame, name: str, default: float | None = None) -> Column:
+    """Column as double; text is parsed, numbers are only cast."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return to_double(F.col(name), default)
+    value = F.col(name).cast("double")
+    return value if default is None else F.coalesce(value, F.lit(float(default)))
+
+
 def to_int(c: Column, default: int | None = None) -> Column:
     """Text to int through double, cut towards zero ('3.7' -> 3)."""
     value = to_double(c).try_cast("int")
@@ -33,22 +42,19 @@ def round_half_even(x: Column, digits: int) -> Column:
     although the stored value is below 0.35. Here the distance to both
     neighbouring ties is computed without rounding error: ``x`` is cut into a
     24-bit head and a remainder whose products with a small power of ten are
-    exact.
+    exact. The argument is used several times: pass a plain column, not a deep
+    expression.
     """
     p = F.lit(float(10 ** digits))
     x = x.cast("double")
     head = x.cast("float").cast("double")
-    tail = x - head
     q = F.rint(x * p)
-    above = (head * p - (q + 0.5)) + tail * p
-    below = (head * p - (q - 0.5)) + tail * p
-    odd = F.abs(q % F.lit(2.0)) == 1.0
-    adjusted = (
-        F.when((above > 0) | ((above == 0) & odd), q + 1.0)
-        .when((below < 0) | ((below == 0) & odd), q - 1.0)
-        .otherwise(q)
-    )
-    return adjusted / p
+    rest = (x - head) * p
+    # On an exact tie an odd q moves, an even one stays.
+    odd = F.abs(q % F.lit(2.0)) * F.lit(1e-300)
+    up = ((head * p - (q + 0.5)) + rest + odd > 0).cast("double")
+    down = ((head * p - (q - 0.5)) + rest - odd < 0).cast("double")
+    return (q + up - down) / p
 
 
 def fixed_text(x: Column, digits: int) -> Column:

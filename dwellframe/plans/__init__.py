@@ -3,7 +3,7 @@
 from dwellframe.plans import registry
 
 _MODULES = (
-    "statistics", "search",
+    "statistics", "search", "cleaning",
 )
 
 
