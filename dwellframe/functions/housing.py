@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.functions.numbers import (
-    clip, digits_to_double, round_half_even, to_double, to_int)
+    clip, digits_to_double, round_half_even, to_double)
 from dwellframe.functions.text import first_match
 from dwellframe.schema import (
     DECORATION_CODES, DISTRICT_TIERS, FLOOR_CODES, OTHER_TIER)
@@ -31,7 +31,8 @@ TITLE_COMMUNITY = r"^\S+\s+(.+?)\s+[一二三四五六七八九0-9]+房"
 
 
 def count_before(text: Column, pattern: str) -> Column:
-    return F.coalesce(to_int(first_match(text, pattern)), F.lit(0))
+    """Whole number in the pattern's group, 0 when absent."""
+    return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("int"), F.lit(0))
 
 
 def layout_struct(layout: Column) -> Column:
@@ -126,7 +127,7 @@ def community_from(alt: Column, title: Column) -> Column:
 
 
 def price_from_title(title: Column) -> Column:
-    return to_double(first_match(title, PRICE_IN_TITLE))
+    return F.regexp_extract(title, PRICE_IN_TITLE, 1).try_cast("double")
 
 
 def first_price(*candidates: Column) -> Column:
@@ -135,7 +136,7 @@ def first_price(*candidates: Column) -> Column:
     text = F.coalesce(*[F.nullif(F.btrim(t), F.lit("")) for t in texts])
     value = F.coalesce(digits_to_double(text), F.lit(0.0))
     return F.when(value > 0, value).otherwise(
-        F.coalesce(to_double(first_match(title, r"([0-9]+\.?[0-9]*)\s*万")), F.lit(0.0)))
+        F.coalesce(F.regexp_extract(title, r"([0-9]+\.?[0-9]*)\s*万", 1).try_cast("double"), F.lit(0.0)))
 
 
 def unit_from_total(total: Column, area: Column) -> Column:

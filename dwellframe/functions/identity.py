@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dwellframe.functions.numbers import as_double, fixed_text, to_double, to_int
+from dwellframe.functions.numbers import as_double, as_int, fixed_text, to_double
 from dwellframe.functions.text import or_blank, prefix
 from dwellframe.schema import SOURCE_B
 
@@ -26,7 +27,7 @@ def with_stored_fingerprint(df: DataFrame) -> DataFrame:
                          "_price": as_double(df, "total_price", 0.0)})
     hashed = fingerprint(
         [prefix(or_blank(c("title")), 60), or_blank(c("community")), or_blank(c("district")),
-         fixed_text(c("_area"), 1), to_int(c("rooms").cast("string"), 0).cast("string"),
+         fixed_text(c("_area"), 1), as_int(df, "rooms", 0).cast("string"),
          fixed_text(c("_price"), 1)],
         "ajk_", 16)
     sid = or_blank(c("source_id"))
@@ -43,7 +44,9 @@ def with_feed_fingerprint(df: DataFrame) -> DataFrame:
     c = F.col
 
     def number(name: str) -> Column:
-        text = F.btrim(c(name).cast("string"))
+        if not isinstance(df.schema[name].dataType, T.StringType):
+            return as_double(df, name, 0.0)
+        text = F.btrim(c(name))
         return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(to_double(text))
 
     def shown(name: str) -> Column:
@@ -51,7 +54,7 @@ def with_feed_fingerprint(df: DataFrame) -> DataFrame:
 
     df = df.withColumns({"_area": number("area"), "_price": number("total_price")})
     key = fingerprint([or_blank(c("community")), or_blank(c("district")), shown("_area"),
-                       to_int(c("rooms").cast("string"), 0).cast("string"), shown("_price")])
+                       as_int(df, "rooms", 0).cast("string"), shown("_price")])
     return df.withColumn("fingerprint", key).drop("_area", "_price")
 
 

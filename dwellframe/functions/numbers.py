@@ -24,6 +24,13 @@ def as_double(df: DataFrame, name: str, default: float | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
+def as_int(df: DataFrame, name: str, default: int | None = None) -> Column:
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return to_int(F.col(name), default)
+    value = F.col(name).try_cast("int")
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
 def to_int(c: Column, default: int | None = None) -> Column:
     """Text to int through double, cut towards zero ('3.7' -> 3)."""
     value = to_double(c).try_cast("int")

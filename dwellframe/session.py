@@ -19,6 +19,8 @@ def local_session(app: str = "dwellframe", cores: str = "8", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        # Long generated methods would otherwise stay interpreted (JVM limit of 8000 bytecodes).
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
