@@ -63,12 +63,19 @@ def build_year(text: Column, built: bool = False) -> Column:
 
 
 def area_number(text: Column) -> Column:
-    return to_double(F.regexp_replace(text, "平米|㎡|m²", ""), 0.0)
+    return F.coalesce(F.btrim(F.regexp_replace(text, "平米|㎡|m²", "")).try_cast("double"), F.lit(0.0))
 
 
-def info_struct(info: Column) -> Column:
-    """Split 'layout|area|orientation|decoration|floor|year' into typed fields."""
-    parts = F.transform(F.split(info, r"\|"), lambda x: F.btrim(x))
+def split_info(info: Column) -> Column:
+    """Parts of a '|'-separated info line, trimmed."""
+    return F.split(F.btrim(info), r"\s*\|\s*")
+
+
+def info_struct(parts: Column) -> Column:
+    """Parts 'layout|area|orientation|decoration|floor|year' as typed fields.
+
+    ``parts`` is used once per field: pass a column made by ``split_info``.
+    """
 
     def part(i: int) -> Column:
         return F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))

@@ -38,6 +38,10 @@ def _class_pattern(name: str) -> str:
     return rf'class="(?:[^"]*\s)?{re.escape(name)}(?:\s[^"]*)?"'
 
 
+# A tag up to its class attribute; possessive, so a tag without one fails at once.
+_TO_CLASS = r"<([a-z0-9]++)[^>c]*+(?:c(?!lass=)[^>c]*+)*+"
+
+
 def blocks(html: Column, tag: str, class_name: str | None = None) -> Column:
     """Inner blocks ``<tag …>…</tag>`` (no nesting of the same tag) as an array."""
     attrs = rf"[^>]*{_class_pattern(class_name)}[^>]*" if class_name else r"(?:\s[^>]*)?"
@@ -47,7 +51,7 @@ def blocks(html: Column, tag: str, class_name: str | None = None) -> Column:
 def element_html(block: Column, class_name: str) -> Column:
     """Inner markup of the first element carrying a class; '' when absent."""
     return F.regexp_extract(
-        block, rf"(?s)<([a-z0-9]+)\b[^>]*{_class_pattern(class_name)}[^>]*>(.*?)</\1>", 2)
+        block, rf"(?s){_TO_CLASS}{_class_pattern(class_name)}[^>]*+>(.*?)</\1>", 2)
 
 
 def element_text(block: Column, class_name: str) -> Column:
@@ -57,7 +61,7 @@ def element_text(block: Column, class_name: str) -> Column:
 def element_texts(block: Column, class_name: str) -> Column:
     """Non-blank texts of all elements carrying a class, in order."""
     found = F.regexp_extract_all(
-        block, F.lit(rf"(?s)<([a-z0-9]+)\b[^>]*{_class_pattern(class_name)}[^>]*>(.*?)</\1>"),
+        block, F.lit(rf"(?s){_TO_CLASS}{_class_pattern(class_name)}[^>]*+>(.*?)</\1>"),
         F.lit(2))
     return F.filter(F.transform(found, plain_text), lambda x: x != "")
 

@@ -39,7 +39,7 @@ def to_int(c: Column, default: int | None = None) -> Column:
 
 def digits_to_double(c: Column) -> Column:
     """Drop everything but digits and dots, then parse ('120万' -> 120.0)."""
-    return to_double(F.regexp_replace(c, "[^0-9.]", ""))
+    return F.regexp_replace(c, "[^0-9.]+", "").try_cast("double")
 
 
 def round_half_even(x: Column, digits: int) -> Column:

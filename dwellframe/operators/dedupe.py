@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellframe.functions.identity import cross_file_key
+from dwellframe.operators.filters import keep_computed
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list, exempt: Column | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def unique_fingerprints(df: DataFrame, order: list[str], blanks: str = "keep") -
     """First row per fingerprint; blank ones are all kept, or dropped."""
     blank = F.coalesce(F.col("fingerprint"), F.lit("")) == ""
     if blanks == "drop":
-        return keep_first(df.where(~blank), ["fingerprint"], order)
+        return keep_first(keep_computed(df, ~blank), ["fingerprint"], order)
     return keep_first(df, ["fingerprint"], order, exempt=blank)
 
 

@@ -17,6 +17,17 @@ def all_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
+def keep_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are costly to compute.
+
+    A plain ``where`` is pushed below the projection that makes those columns
+    and evaluates their expressions a second time; a filter written as a
+    generator stays above it.
+    """
+    kept = F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")
+    return df.select("*", kept).drop("_kept")
+
+
 def priced() -> Column:
     return (F.col("total_price") > 0) & (F.col("total_price") < 5000)
 

@@ -3,7 +3,7 @@
 from dwellframe.plans import registry
 
 _MODULES = (
-    "statistics", "search", "cleaning", "enrichment", "increment",
+    "statistics", "search", "cleaning", "enrichment", "increment", "webpages",
 )
 
 

@@ -31,7 +31,7 @@ def parse_info_text(spark, sf):
     df = listings(spark, sf, "id_key", "rooms", "halls", "bathrooms", "area", "orientation", "decoration",
                   "floor_type", "total_floors", "build_year")
     info = F.expr(INFO.replace("cast(area AS int)", "cast(cast(area AS int) AS string)"))
-    parsed = df.select("id_key", info.alias("info"), "area")
+    parsed = df.select("id_key", housing.split_info(info).alias("info"), "area")
     fields = housing.info_struct(F.col("info"))
     digits = digits_to_double(F.concat(F.lit("约"), (F.col("area") * 10).cast("int").cast("string"), F.lit("万元")))
     return parsed.select("id_key", fields.alias("f"), digits.alias("digits")).select("id_key", "f.*", "digits")

@@ -83,7 +83,7 @@ def enrich_overwrite(spark, sf):
 
 @query("complete_fields", "F17 F18 H8", on_listings("""
     SELECT id_key, CASE WHEN feed_unit_price = 0 THEN cast(format('{:.2f}', total_price * 10000.0 / area) AS double)
-                        ELSE round(feed_unit_price, 6) END AS unit_price,
+                        ELSE feed_unit_price END AS unit_price,
            CASE WHEN bathrooms <> 0 THEN bathrooms WHEN total_floors % 2 = 0 AND feed_rank > 0 THEN feed_rank
                 WHEN rooms <= 2 THEN 1 ELSE 2 END AS bathrooms FROM listings"""))
 def complete_fields(spark, sf):
@@ -92,9 +92,7 @@ def complete_fields(spark, sf):
     layout = F.when((F.col("total_floors") % 2 == 0) & (F.col("feed_rank") > 0),
                     F.concat(F.lit("2室"), F.col("feed_rank").cast("string"), F.lit("卫"))).otherwise("2室1厅")
     rows = df.withColumn("layout", layout).withColumn("unit_price", F.col("feed_unit_price"))
-    done = en.complete(rows)
-    shown = F.when(F.col("feed_unit_price") == 0, F.col("unit_price")).otherwise(F.round("unit_price", 6))
-    return done.select("id_key", shown.alias("unit_price"), "bathrooms")
+    return en.complete(rows).select("id_key", "unit_price", "bathrooms")
 
 
 @query("code_lookup", "J2 F19 F20 F22 F21 F23", on_listings("""
