@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dwellframe.functions.items import item_dimensions, itemset_text
 from dwellframe.session import stage
 
-MAX_ITEMS = 10
+BROADCAST_ROWS = 200_000
 
 
 def transactions(df: DataFrame, items, min_items: int = 3) -> DataFrame:
@@ -32,14 +32,14 @@ def item_support(tx: DataFrame) -> DataFrame:
 def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> DataFrame:
     """All itemsets up to ``max_len`` with at least ``min_support``.
 
-    A level has at most C(10, k) / min_support frequent sets, because a
-    transaction holds at most ten items and so at most C(10, k) sets of size k.
-    That bound is checked before the level is broadcast; a wider table joins by
-    shuffle. The weighted transactions and each level are written once and read
-    back, so no level recomputes the ones before it.
+    A transaction of ten items has C(10, k) sets of size k, so a level has at
+    most C(10, k) / min_support frequent ones, whatever the number of rows. A
+    level is broadcast only when its counted size is small; a larger one joins
+    by shuffle. The weighted transactions and each level are written once and
+    read back, so no level recomputes the ones before it.
     """
     tx = stage(tx, "transactions")
-    total, widest = tx.agg(F.sum("weight"), F.max(F.size("items"))).first()
+    total = tx.agg(F.sum("weight")).first()[0]
     if not total:
         return tx.select("items", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("support")).where("false")
     grown = tx.select(F.array().cast("array<string>").alias("prefix"), F.col("items").alias("rest"), "weight")
@@ -55,7 +55,7 @@ def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> Da
         if size == max_len:
             break
         known = level.select("prefix")
-        if widest <= MAX_ITEMS:
+        if level.count() <= BROADCAST_ROWS:
             known = F.broadcast(known)
         grown = longer.where(F.size("rest") > 0).join(known, "prefix", "left_semi")
     out = levels[0]
