@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.functions.numbers import (
-    clip, digits_to_double, round_half_even, to_double)
+    clip, digits_to_double, known_number, round_half_even, to_double)
 from dwellframe.functions.text import first_match
 from dwellframe.schema import (
     DECORATION_CODES, DISTRICT_TIERS, FLOOR_CODES, OTHER_TIER)
@@ -63,7 +63,7 @@ def build_year(text: Column, built: bool = False) -> Column:
 
 
 def area_number(text: Column) -> Column:
-    return F.coalesce(F.btrim(F.regexp_replace(text, "平米|㎡|m²", "")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(known_number(F.btrim(F.regexp_replace(text, "平米|㎡|m²", ""))), F.lit(0.0))
 
 
 def split_info(info: Column) -> Column:
@@ -134,7 +134,7 @@ def community_from(alt: Column, title: Column) -> Column:
 
 
 def price_from_title(title: Column) -> Column:
-    return F.regexp_extract(title, PRICE_IN_TITLE, 1).try_cast("double")
+    return known_number(F.regexp_extract(title, PRICE_IN_TITLE, 1))
 
 
 def first_price(*candidates: Column) -> Column:
@@ -143,7 +143,7 @@ def first_price(*candidates: Column) -> Column:
     text = F.coalesce(*[F.nullif(F.btrim(t), F.lit("")) for t in texts])
     value = F.coalesce(digits_to_double(text), F.lit(0.0))
     return F.when(value > 0, value).otherwise(
-        F.coalesce(F.regexp_extract(title, r"([0-9]+\.?[0-9]*)\s*万", 1).try_cast("double"), F.lit(0.0)))
+        F.coalesce(known_number(F.regexp_extract(title, r"([0-9]+\.?[0-9]*)\s*万", 1)), F.lit(0.0)))
 
 
 def unit_from_total(total: Column, area: Column) -> Column:

@@ -46,4 +46,4 @@ def item_dimensions(items: Column) -> Column:
 
 
 def itemset_text(items: Column) -> Column:
-    return F.array_join(F.array_sort(items), ", ")
+    return F.array_join(F.sort_array(items), ", ")

@@ -37,9 +37,14 @@ def to_int(c: Column, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+def known_number(c: Column) -> Column:
+    """Digits already cut out by a pattern; '' is ruled out first because a failing parse is slow."""
+    return F.nullif(c, F.lit("")).try_cast("double")
+
+
 def digits_to_double(c: Column) -> Column:
     """Drop everything but digits and dots, then parse ('120万' -> 120.0)."""
-    return F.regexp_replace(c, "[^0-9.]+", "").try_cast("double")
+    return known_number(F.regexp_replace(c, "[^0-9.]+", ""))
 
 
 def round_half_even(x: Column, digits: int) -> Column:

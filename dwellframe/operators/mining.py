@@ -14,11 +14,13 @@ from dwellframe.functions.items import item_dimensions, itemset_text
 from dwellframe.session import stage
 
 BROADCAST_ROWS = 200_000
+CODE_BASE = 1 << 15
+PACKED_ITEMS = 2000
 
 
 def transactions(df: DataFrame, items, min_items: int = 3) -> DataFrame:
     """Item sets with multiplicity: ``items`` (sorted, distinct) and ``weight``."""
-    rows = df.select(F.array_sort(F.array_distinct(items)).alias("items"))
+    rows = df.select(F.sort_array(F.array_distinct(items)).alias("items"))
     rows = rows.groupBy("items").agg(F.count("*").alias("weight"))
     return rows.where(F.size("items") >= min_items)
 
@@ -29,6 +31,13 @@ def item_support(tx: DataFrame) -> DataFrame:
             .agg(F.sum("weight").alias("count")).withColumn("support", F.col("count") / F.lit(n)))
 
 
+def _encode(tx: DataFrame, names: list[str]) -> DataFrame:
+    """Replace items by their position in ``names`` (sorted), drop the others, merge equal rows."""
+    codes = F.create_map(*[F.lit(v) for pair in zip(names, range(1, len(names) + 1)) for v in pair])
+    coded = F.array_compact(F.transform("items", lambda x: F.try_element_at(codes, x)))
+    return tx.select(coded.alias("items"), "weight").groupBy("items").agg(F.sum("weight").alias("weight"))
+
+
 def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> DataFrame:
     """All itemsets up to ``max_len`` with at least ``min_support``.
 
@@ -37,21 +46,39 @@ def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> Da
     level is broadcast only when its counted size is small; a larger one joins
     by shuffle. The weighted transactions and each level are written once and
     read back, so no level recomputes the ones before it.
+
+    While the frequent items are few and four 15-bit codes fit a long, prefixes
+    are packed numbers, which group far faster than arrays of texts; otherwise
+    the prefixes stay arrays.
     """
     tx = stage(tx, "transactions")
     total = tx.agg(F.sum("weight")).first()[0]
     if not total:
         return tx.select("items", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("support")).where("false")
-    grown = tx.select(F.array().cast("array<string>").alias("prefix"), F.col("items").alias("rest"), "weight")
+
+    def often(counts: DataFrame) -> DataFrame:
+        return counts.where(F.col("count") / F.lit(total) >= min_support)
+
+    items = stage(often(tx.select(F.explode("items").alias("item"), "weight")
+                        .groupBy("item").agg(F.sum("weight").alias("count"))), "items")
+    packed = max_len <= 4 and items.count() <= PACKED_ITEMS
+    if packed:
+        names = [r["item"] for r in items.select("item").orderBy("item").collect()]
+        if not names:
+            return items.select(F.array("item").alias("items"), "count", F.lit(0.0).alias("support"))
+        tx = stage(_encode(tx, names), "coded")
+        empty, extended = F.lit(0).cast("bigint"), F.col("prefix") * CODE_BASE + F.col("item")
+    else:
+        empty, extended = F.array().cast("array<string>"), F.concat("prefix", F.array("item"))
+
+    grown = tx.select(empty.alias("prefix"), F.col("items").alias("rest"), "weight")
     levels = []
     for size in range(1, max_len + 1):
-        longer = grown.select(
-            "prefix", "rest", "weight", F.posexplode("rest").alias("i", "item")).select(
-            F.concat("prefix", F.array("item")).alias("prefix"),
-            F.slice("rest", F.col("i") + 2, F.lit(1 << 20)).alias("rest"), "weight")
+        longer = grown.select("prefix", "rest", "weight", F.posexplode("rest").alias("i", "item")).select(
+            extended.alias("prefix"), F.slice("rest", F.col("i") + 2, F.lit(1 << 20)).alias("rest"), "weight")
         counts = longer.groupBy("prefix").agg(F.sum("weight").alias("count"))
-        level = stage(counts.where(F.col("count") / F.lit(total) >= min_support), f"level{size}")
-        levels.append(level)
+        level = stage(often(counts), f"level{size}")
+        levels.append(_unpack(level, names, size) if packed else level)
         if size == max_len:
             break
         known = level.select("prefix")
@@ -64,6 +91,13 @@ def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> Da
     return out.select(F.col("prefix").alias("items"), "count", (F.col("count") / F.lit(total)).alias("support"))
 
 
+def _unpack(level: DataFrame, names: list[str], size: int) -> DataFrame:
+    texts = F.array(*map(F.lit, names))
+    parts = [F.element_at(texts, F.shiftright("prefix", 15 * (size - 1 - k)).bitwiseAND(F.lit(CODE_BASE - 1)).cast("int"))
+             for k in range(size)]
+    return level.withColumn("prefix", F.array(*parts))
+
+
 def rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:
     """Rules from every non-empty split of each itemset, measures rounded to 4 digits.
 

@@ -8,7 +8,7 @@ from dwellframe.functions.text import blank_to_null, or_blank
 from dwellframe.operators import dedupe
 from dwellframe.operators import statistics as st
 from dwellframe.plans.registry import query
-from dwellframe.plans.views import crawl_log, listings, on_listings, on_log, table
+from dwellframe.plans.views import crawl_log, dealt_listings as listings, on_listings, on_log, table
 from dwellframe.schema import RAW_FIELDS_A
 from dwellframe.session import scratch_path
 from dwellframe.sources import feeds, tables

@@ -6,7 +6,7 @@ from dwellframe.functions import housing
 from dwellframe.functions.numbers import round_half_even
 from dwellframe.operators import enrichment as en
 from dwellframe.plans.registry import query
-from dwellframe.plans.views import listings, on_listings, table
+from dwellframe.plans.views import dealt_listings as listings, on_listings, table
 
 
 @query("title_id_match", "J5", on_listings("""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dwellframe.operators import features as ft
 from dwellframe.operators.quantiles import exact_median
 from dwellframe.plans.registry import query
-from dwellframe.plans.views import listings, on_listings
+from dwellframe.plans.views import dealt_listings as listings, on_listings
 from dwellframe.schema import MODEL_FEATURES
 
 PREPARED = """prepared AS (SELECT id_key, district, community, total_price, unit_price, area, rooms, halls, bathrooms,

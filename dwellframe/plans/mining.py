@@ -8,7 +8,7 @@ from dwellframe.operators import mining as mn
 from dwellframe.operators.filters import keyword_rules, valid_for_analysis
 from dwellframe.plans.registry import query
 from dwellframe.plans.statistics import AREA_CASE, TOTAL_CASE, UNIT_CASE
-from dwellframe.plans.views import listings, on_listings
+from dwellframe.plans.views import dealt_listings as listings, on_listings
 
 VALID = """total_price > 0 AND total_price < 5000 AND area > 0 AND area < 500 AND rooms > 0 AND rooms <= 10
       AND status = 'on_sale'"""

@@ -10,7 +10,11 @@ from dwellframe.plans.views import crawl_log, listings, on_listings, on_log
 from dwellframe.schema import AREA_BINS, TOTAL_PRICE_BINS, UNIT_PRICE_BINS
 
 PRICED = "total_price > 0 AND total_price < 5000"
-AS_OF = F.lit("2024-01-31").cast("timestamp_ntz")
+
+
+def _as_of():
+    return F.lit("2024-01-31").cast("timestamp_ntz")
+
 
 
 def _case(column, bins):
@@ -185,7 +189,7 @@ def recent_24h(spark, sf):
            cast(sum(updated) AS bigint) AS total_updated, count(DISTINCT source) AS sources
     FROM crawl_log WHERE crawl_time >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1"""))
 def daily_log_stats(spark, sf):
-    return st.daily_log(crawl_log(spark, sf), AS_OF)
+    return st.daily_log(crawl_log(spark, sf), _as_of())
 
 
 @query("source_log_stats", "A16", on_log("""
@@ -193,7 +197,7 @@ def daily_log_stats(spark, sf):
            cast(sum(updated) AS bigint) AS total_updated, max(crawl_time) AS last_crawl
     FROM crawl_log WHERE crawl_time >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY source"""))
 def source_log_stats(spark, sf):
-    return st.source_log(crawl_log(spark, sf), AS_OF)
+    return st.source_log(crawl_log(spark, sf), _as_of())
 
 
 @query("image_coverage", "A17", on_listings("""

@@ -163,8 +163,9 @@ def test_itemsets_and_rules_against_brute_force(spark, monkeypatch):
     data = [sorted({f"d{d}={rng.randint(0, 2)}" for d in range(5) if rng.random() > 0.2}) for _ in range(400)]
     data = [t for t in data if len(t) >= 3]
     df = spark.createDataFrame([(t,) for t in data], "t array<string>")
-    for rows in (200_000, 0):  # broadcast and shuffle form
+    for rows, packed in ((200_000, 2000), (0, 2000), (200_000, 0), (0, 0)):  # broadcast or shuffle, packed or arrays
         monkeypatch.setattr(mining, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(mining, "PACKED_ITEMS", packed)
         sets = mining.frequent_itemsets(mining.transactions(df, F.col("t")), 0.1, 4)
         got = {tuple(r["items"]): r["count"] for r in sets.collect()}
         assert got == brute_force(data, 0.1, 4)
