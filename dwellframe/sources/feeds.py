@@ -45,7 +45,7 @@ def file_label(path: Column) -> Column:
     """The feed's file name; a partition folder ``feed_file=…`` stands for the file."""
     name = F.coalesce(F.nullif(F.regexp_extract(path, "feed_file=([^/]+)/", 1), F.lit("")),
                       F.regexp_extract(path, "([^/]+)$", 1))
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
 def feed_class(label: Column) -> Column:

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dwellframe.functions.times import utc_instant
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 2) -> DataFrame:
     """Parquet folder as a stream; a zone-less ``ts`` becomes a UTC timestamp for watermarks."""
     df = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+    zoneless = "ts" in df.columns and isinstance(df.schema["ts"].dataType, T.TimestampNTZType)
+    return df.withColumn("ts", utc_instant(F.col("ts"))) if zoneless else df
 
 
 def _mark(df: DataFrame, watermark: str | None) -> DataFrame:

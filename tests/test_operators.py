@@ -307,3 +307,23 @@ def test_snapshots(spark):
     df = spark.createDataFrame([(i, 10, int(i == 3)) for i in range(12)], "batch int, rows int, failed int")
     rows = ev.snapshots(df).orderBy("no").collect()
     assert [(r.no, r.running, r.failed_so_far) for r in rows] == [(1, 10, 0), (5, 50, 1), (10, 100, 1), (12, 120, 1)]
+
+
+def test_registry_loads_without_a_session():
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    root = __file__.rsplit("/tests/", 1)[0]
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_wall_clock_does_not_follow_the_session_zone(spark):
+    from dwellframe.functions.times import hours_since, utc_instant, utc_wall
+    df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.5' AS t")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York", "Asia/Shanghai"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        r = df.select(utc_wall(utc_instant(F.col("t"))).alias("w"), F.unix_micros(utc_instant(F.col("t"))).alias("m"),
+                      hours_since(F.col("t"), "2024-03-10").alias("h")).first()
+        assert (str(r.w), r.m, r.h) == ("2024-03-10 02:30:00.500000", 1710037800500000, 2)
+    spark.conf.set("spark.sql.session.timeZone", before)
