@@ -32,11 +32,15 @@ def match_titles(rows: DataFrame, scanned: DataFrame, title: str, value: str, or
 
 
 def fallback_lookup(rows: DataFrame, table: DataFrame, key: str, value: str, candidates: list[Column]) -> DataFrame:
-    """First candidate key with an entry gives the value; ``table`` has one row per key."""
-    found = []
+    """First candidate key with an entry gives the value; ``table`` has one row per key.
+
+    Rows without a candidate get a key of their own that matches nothing, so
+    they do not all meet in the task of the blank key.
+    """
+    found, own = [], F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string"))
     for i, candidate in enumerate(candidates):
         probe = table.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
-        rows = rows.withColumn(f"_c{i}", candidate)
+        rows = rows.withColumn(f"_c{i}", F.coalesce(F.nullif(candidate, F.lit("")), own))
         rows = rows.join(probe, F.col(f"_c{i}") == F.col(f"_k{i}"), "left")
         found.append(F.col(f"_v{i}"))
     drop = [f"_{p}{i}" for i in range(len(candidates)) for p in "ckv"]

@@ -349,14 +349,15 @@ def frame_summary(spark, sf):
       round(stddev_samp(unit_price), 4) AS std_unit_price, round(avg(total_price), 4) AS avg_total_price,
       round(stddev_samp(total_price), 4) AS std_total_price, round(avg(area), 4) AS avg_area,
       round(stddev_samp(area), 4) AS std_area, round(avg(total_floors), 4) AS avg_floors,
-      round(avg(build_year), 4) AS avg_build_year, round(avg(lng) FILTER (lng > 0), 4) AS lng_mean,
-      round(stddev_samp(lng) FILTER (lng > 0), 4) AS lng_std, round(avg(lat) FILTER (lat > 0), 4) AS lat_mean,
+      round(avg(build_year), 4) AS avg_build_year, round(avg(lng) FILTER (lng > 0), 9) AS lng_mean,
+      round(stddev_samp(lng) FILTER (lng > 0), 4) AS lng_std, round(avg(lat) FILTER (lat > 0), 9) AS lat_mean,
       round(stddev_samp(lat) FILTER (lat > 0), 4) AS lat_std
     FROM listings GROUP BY district HAVING count(*) >= 10"""))
 def district_profile(spark, sf):
     df = st.district_profile(listings(spark, sf, "district", "unit_price", "total_price", "area",
                                       "total_floors", "build_year", "lng", "lat"))
-    return df.select("district", "count", *[F.round(c, 4).alias(c) for c in df.columns[2:]])
+    # Coordinates have three decimals, so their means can fall on a tie at few digits.
+    return df.select("district", "count", *[F.round(c, 9 if c.endswith("_mean") else 4).alias(c) for c in df.columns[2:]])
 
 
 @query("category_weights", "A28 W10", on_listings("""
