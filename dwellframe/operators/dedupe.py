@@ -39,15 +39,14 @@ def with_cross_key(df: DataFrame) -> DataFrame:
     return df.withColumn("cross_key", cross_file_key(c("title"), c("community"), c("district"), c("source")))
 
 
-def cross_file(df: DataFrame, rank: str, order: list[str]) -> DataFrame:
+def cross_file(main: DataFrame, others: DataFrame, rank: str, order: list[str]) -> DataFrame:
     """Keep every main row, and of the other classes the first row per key that main lacks.
 
     The key sides are reduced before they meet (one row per key each), and the
     window, the distinct and the anti join share one hash partitioning.
     """
-    keyed = with_cross_key(df)
-    main = keyed.where(F.col(rank) == 0)
-    rest = keep_first(keyed.where(F.col(rank) != 0), ["cross_key"], [rank, *order])
+    main, others = with_cross_key(main), with_cross_key(others)
+    rest = keep_first(others, ["cross_key"], [rank, *order])
     fresh = rest.join(main.select("cross_key").distinct(), "cross_key", "left_anti")
     return main.unionByName(fresh).drop("cross_key")
 
@@ -63,7 +62,7 @@ def unique_fingerprints(df: DataFrame, order: list[str], blanks: str = "keep") -
 def survivors(repaired: DataFrame, order: list[str], rank: str = "feed_rank") -> DataFrame:
     """Rows left after the title and cross-file stages."""
     main = unique_titles(repaired.where(F.col(rank) == 0), order)
-    return cross_file(main.unionByName(repaired.where(F.col(rank) != 0)), rank, order)
+    return cross_file(main, repaired.where(F.col(rank) != 0), rank, order)
 
 
 def clean(repaired: DataFrame, order: list[str], rank: str = "feed_rank") -> DataFrame:
