@@ -317,11 +317,11 @@ def merge_keyed(spark, sf):
 
 @query("pending_files", "U5 T7 S17", on_listings("""
     SELECT feed_file, count(*) AS rows FROM listings WHERE feed_file NOT IN
-      (SELECT feed_file FROM listings WHERE total_price > 415) GROUP BY feed_file"""))
+      (SELECT feed_file FROM listings WHERE total_price > 419.5) GROUP BY feed_file"""))
 def pending_files(spark, sf):
     df = listings(spark, sf, "feed_file", "total_price")
     found = df.groupBy("feed_file").agg(F.count("*").alias("rows"))
-    return tables.pending(found, df.where("total_price > 415"), "feed_file")
+    return tables.pending(found, df.where("total_price > 419.5"), "feed_file")
 
 
 @query("progress_board", "J13 T7", """

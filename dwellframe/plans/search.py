@@ -147,13 +147,13 @@ def districts_outside_core(spark, sf):
 
 
 @query("map_points", "P13 P16", on_listings("""
-    SELECT id_key, lng, lat, round(unit_price, 2) AS unit_price FROM listings
-    WHERE district = 'CHINA' AND lng IS NOT NULL AND isfinite(lng) AND isfinite(lat)
+    SELECT id_key, lng, lat, unit_price FROM listings
+    WHERE district = 'NATION_11' AND lng IS NOT NULL AND isfinite(lng) AND isfinite(lat)
     ORDER BY id_key LIMIT 500"""))
 def map_points(spark, sf):
     df = listings(spark, sf, "id_key", "lng", "lat", "unit_price", "district")
-    return topk.map_points(df, "CHINA", 500, "id_key").select(
-        "id_key", "lng", "lat", F.round("unit_price", 2).alias("unit_price"))
+    return topk.map_points(df, "NATION_11", 500, "id_key").select(
+        "id_key", "lng", "lat", "unit_price")
 
 
 _METRES = """2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - 29.5) / 2), 2)

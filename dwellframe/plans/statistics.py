@@ -324,10 +324,10 @@ def area_share(spark, sf):
 
 @query("page_total", "A34", on_listings(f"""
     SELECT count(*) AS total, cast(ceil(count(*) / 20.0) AS bigint) AS pages FROM listings
-    WHERE {PRICED} AND district = 'FRANCE'"""))
+    WHERE {PRICED} AND district = 'NATION_7'"""))
 def page_total(spark, sf):
     from dwellframe.operators.filters import search
-    return st.pages_for(search(listings(spark, sf, "district", "total_price"), district="FRANCE"), 20)
+    return st.pages_for(search(listings(spark, sf, "district", "total_price"), district="NATION_7"), 20)
 
 
 @query("district_names", "A35 U6", on_listings("SELECT DISTINCT district FROM listings"))
