@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellframe.llm import links, mixing, quality
+from dwellframe.llm import lines, links, mixing, neardup, packing, quality
 from dwellframe.llm.common import table
 
 URL_RULES = (
@@ -13,6 +13,19 @@ URL_RULES = (
 )
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The path of an installed public tokenizer file; every executor has the package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_ngram_jaccard(spark, sf_dir):
+    """Each document's class of copies, linked group and number of verified links."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    members, _ = neardup.jaccard_join(docs, width=5, threshold=0.8, recall=0.999)
+    return members.select("doc_id", "copy_id", "class_id", "n_links")
+
+
 def op2_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = mixing.mix(docs, weights=(1, 2, 3), max_epochs=3, carry=["doc_id"])
@@ -20,6 +33,14 @@ def op2_source_mix(spark, sf_dir):
                         (F.col("m_size") * F.col("repeats")).alias("taken"))
 
 
+def op3_line_alignment(spark, sf_dir):
+    """Every document with its cleaned text and the deleted line ranges."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = lines.dedup_lines(docs, min_words=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
+    return cleaned.select("doc_id", "text", "spans", removed.alias("n_removed_lines"))
+
+
 def op4_link_graph_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return links.judge_pages(pages, URL_RULES, carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
@@ -30,6 +51,11 @@ def op5_host_quality(spark, sf_dir):
     return quality.judge(docs, carry=["doc_id"])
 
 
+def op9_genetic_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_file(), carry=["doc_id"], end_id=0, capacity=2048)
+
+
 _W = r"[^\x20\x09-\x0D]+"
 
 OP2_SQL = rf"""
@@ -154,6 +180,9 @@ judged AS (
 OP5_SQL = quality_sql("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged")
 
 QUERIES = {
+    "op1_ngram_jaccard": (op1_ngram_jaccard, None),
+    "op3_line_alignment": (op3_line_alignment, None),
+    "op9_genetic_packing": (op9_genetic_packing, None),
     "op2_source_mix": (op2_source_mix, OP2_SQL),
     "op4_link_graph_filter": (op4_link_graph_filter, _op4_sql()),
     "op5_host_quality": (op5_host_quality, OP5_SQL),
