@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellframe.llm import lines, links, mixing, neardup, packing, quality
+from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, quality, separators
 from dwellframe.llm.common import table
 
 URL_RULES = (
@@ -13,6 +13,9 @@ URL_RULES = (
 )
 
 
+END_OF_TEXT = 50256  # of byte_bpe_50k
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """The path of an installed public tokenizer file; every executor has the package."""
     import public_tokenizers
@@ -56,6 +59,19 @@ def op9_genetic_packing(spark, sf_dir):
     return packing.pack(docs, tokenizer_file(), carry=["doc_id"], end_id=0, capacity=2048)
 
 
+def op6_separator_scan(spark, sf_dir):
+    """Token count and place of every document, found in flat files written from all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = separators.write_flat(docs, tokenizer_file(), end_id=END_OF_TEXT)
+    counted = separators.count_tokens(order.select("file"), END_OF_TEXT, id_width=2)
+    return counted.join(order, ["file", "ordinal"]).select("doc_id", "ordinal", "start", "n_tokens", "closed")
+
+
+def op10_range_coder(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return idfiles.read_ids(spark, idfiles.write_ids(docs, tokenizer_file(), end_id=2))
+
+
 _W = r"[^\x20\x09-\x0D]+"
 
 OP2_SQL = rf"""
@@ -180,6 +196,8 @@ judged AS (
 OP5_SQL = quality_sql("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged")
 
 QUERIES = {
+    "op6_separator_scan": (op6_separator_scan, None),
+    "op10_range_coder": (op10_range_coder, None),
     "op1_ngram_jaccard": (op1_ngram_jaccard, None),
     "op3_line_alignment": (op3_line_alignment, None),
     "op9_genetic_packing": (op9_genetic_packing, None),
