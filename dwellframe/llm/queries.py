@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, quality, separators
+from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators
 from dwellframe.llm.common import table
 
 URL_RULES = (
@@ -54,6 +54,17 @@ def op5_host_quality(spark, sf_dir):
     return quality.judge(docs, carry=["doc_id"])
 
 
+def op7_surrogates(spark, sf_dir):
+    """Every document with surrogates for its personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return privacy.replace_entities(docs, key="surrogate-key-1")
+
+
+def op8_permutation_index(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_genetic_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_file(), carry=["doc_id"], end_id=0, capacity=2048)
@@ -200,6 +211,8 @@ QUERIES = {
     "op10_range_coder": (op10_range_coder, None),
     "op1_ngram_jaccard": (op1_ngram_jaccard, None),
     "op3_line_alignment": (op3_line_alignment, None),
+    "op7_surrogates": (op7_surrogates, None),
+    "op8_permutation_index": (op8_permutation_index, None),
     "op9_genetic_packing": (op9_genetic_packing, None),
     "op2_source_mix": (op2_source_mix, OP2_SQL),
     "op4_link_graph_filter": (op4_link_graph_filter, _op4_sql()),
