@@ -29,6 +29,7 @@ FEMALE = "Mrs Ms Miss Frau Señora Sra Madame Mme г-жа Κυρία".split()
 NEUTRAL = "Dr Prof".split()
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+OTHER = "other"
 # In order of precedence; at one place of a text the first that fits is taken.
 PATTERNS = {
     "secret": r"""(?<=(?i:password|passwd|token|secret|key)[ \t]{0,3}[=:][ \t]{0,3}["']{0,1})[^\s"']{6,}""",
@@ -66,12 +67,18 @@ def entities(text: Column) -> Column:
 
 
 def kind(entity: Column) -> Column:
-    """The type of an entity, by its looks alone; what looks like nothing else is a secret."""
+    """The type of an entity, by its looks alone; what looks like nothing else is a secret.
+
+    A number with the length of a card number that fails the check sum is none and stays as it is.
+    """
     out = F.lit("secret")
     for name in reversed([n for n in PATTERNS if n != "secret"]):
         # A pattern that fits the entity from end to end.
         out = F.when(entity.rlike(rf"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(out)
-    return out
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    valid = F.substring(digits, -1, 1) == luhn_digit(body)
+    return F.when((out == "card") & ~valid, F.lit(OTHER)).otherwise(out)
 
 
 def units(entity: Column, type_: Column) -> Column:
@@ -203,18 +210,20 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     mentions = scratch.keep(mentions, "mentions")
     known = mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity")))
     known = scratch.keep(known.select("entity", "kind", units(F.col("entity"), F.col("kind")).alias("units")), "entities")
-    parts = known.select("entity", "kind", F.posexplode("units").alias("i", "u")).select("entity", "kind", "i", "u.*")
+    parts = known.where(F.col("kind") != OTHER).select("entity", "kind", F.posexplode("units").alias("i", "u")).select(
+        "entity", "kind", "i", "u.*")
     mapping = assign(scratch.keep(parts.select("type", "canon").distinct(), "distinct"), key, scratch)
     news = parts.join(mapping, ["type", "canon"]).groupBy("entity", "kind").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]), " ").alias("new"))
     news = scratch.keep(news.select("entity", rendered(F.col("entity"), F.col("kind"), F.col("new")).alias("new")), "rendered")
-    by_text = mentions.join(news, "entity").groupBy("k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("news"))
+    by_text = mentions.join(news, "entity", "left").groupBy("k").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "entity").alias("new")))),
+                    lambda x: x["new"]).alias("news"), F.count("new").cast("int").alias("n"))
     by_text = scratch.keep(by_text, "replacements")
 
     pieces = F.split(t, ENTITY, -1)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
-    changed = hits.join(by_text, "k").withColumn(t, joined)
-    same = found.where(F.size("ents") == 0)
-    cols = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.size("ents").alias("n_entities")]
-    return changed.select(*cols).union(same.select(*cols))
+    cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    changed = hits.join(by_text, "k").withColumn(t, joined).select(*cols, F.col("n").alias("n_entities"))
+    same = found.where(F.size("ents") == 0).select(*cols, F.lit(0).alias("n_entities"))
+    return changed.union(same)
