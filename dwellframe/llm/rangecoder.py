@@ -28,55 +28,52 @@ MAGIC, VERSION = b"TIDC", 1
 HEAD = struct.Struct("<4sBBHQIIII")
 BLOCK = 2048
 TOTAL = 1 << 16
-_TOP, _LOW = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-_BOT = np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
-_SLOTS = 1 << 11
+_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
+_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_SLOTS = 1 << 9
 
 
 class Trust:
     """Predictions of orders 2 and 1 and their shares of the coding interval, for all blocks at once."""
 
     def __init__(self, blocks: int):
-        self.base = np.arange(blocks, dtype=np.int64) * _SLOTS
+        self.base = np.arange(blocks, dtype=np.int32) * _SLOTS
         self.order1 = np.zeros(blocks * _SLOTS, dtype=np.int32)  # id and confidence (0 to 7)
         self.order2 = np.zeros(blocks * _SLOTS, dtype=np.int32)
-        self.shares_at = np.arange(blocks, dtype=np.int64) * 64
+        self.shares_at = np.arange(blocks, dtype=np.int32) * 64
         self.shares = np.full(blocks * 64, TOTAL // 3, dtype=np.int32)
-        self.last = np.zeros(blocks, dtype=np.int64)
-        self.before = np.zeros(blocks, dtype=np.int64)
+        self.last = np.zeros(blocks, dtype=np.uint32)
+        self.before = np.zeros(blocks, dtype=np.uint32)
 
     def predict(self):
-        """Ids foreseen by orders 2 and 1, and the widths of their intervals (0: no prediction)."""
-        mixed = self.last * 0x9E3779B1
-        self.at1 = self.base + ((mixed >> 15) & (_SLOTS - 1))
-        self.at2 = self.base + (((mixed + self.before * 0x85EBCA6B) >> 13) & (_SLOTS - 1))
-        seen1, seen2 = self.order1[self.at1], self.order2[self.at2]
-        self.id1, self.sure1 = seen1 >> 3, seen1 & 7
-        self.id2, self.sure2 = seen2 >> 3, seen2 & 7
-        same = (self.id1 == self.id2) & (self.sure2 > 0)
-        use1 = (self.sure1 > 0) & ~same
-        context = np.minimum(self.sure2, 3) * 8 + np.minimum(self.sure1, 3) * 2 + same
-        self.at = self.shares_at + context * 2
-        share2, share1 = self.shares[self.at], self.shares[self.at + 1]
-        width2 = np.where(self.sure2 > 0, np.clip(share2, 32, TOTAL - 128), 0).astype(np.int64)
+        """Widths of the intervals of orders 2 and 1 (0: no prediction); their ids are ``id2`` and ``id1``."""
+        mixed = self.last * np.uint32(0x9E3779B1)
+        self.at1 = (mixed >> np.uint32(23)).view(np.int32) + self.base
+        self.at2 = ((mixed ^ self.before * np.uint32(0x85EBCA6B)) >> np.uint32(23)).view(np.int32) + self.base
+        self.seen1, self.seen2 = self.order1[self.at1], self.order2[self.at2]
+        self.id1, self.id2 = self.seen1 >> 3, self.seen2 >> 3
+        sure1, sure2 = self.seen1 & 7, self.seen2 & 7
+        same = self.id1 == self.id2
+        context = (np.minimum(sure2, 3) << 3) + (np.minimum(sure1, 3) << 1) + same
+        self.at = self.shares_at + (context << 1)
+        width2 = np.clip(self.shares[self.at], 32, TOTAL - 128) * (sure2 > 0)
         rest = TOTAL - width2
-        width1 = np.where(use1, np.clip((rest * share1) >> 16, 16, rest - 16), 0)
-        self.width2, self.width1 = width2, width1
+        width1 = np.clip(((rest >> 2) * (self.shares[self.at + 1] >> 2)) >> 12, 16, rest - 16) * ((sure1 > 0) & ~same)
         return width2, width1
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.shares[self.at] += np.where(hit2, TOTAL - self.shares[self.at], -self.shares[self.at]) >> 4
-        second = self.shares[self.at + 1]
-        self.shares[self.at + 1] = second + np.where(
-            hit2, 0, np.where(hit1, TOTAL - second, -second) >> 4)
-        for table, at, known, sure in ((self.order1, self.at1, self.id1, self.sure1),
-                                       (self.order2, self.at2, self.id2, self.sure2)):
+        old = self.shares[self.at]
+        self.shares[self.at] = old + ((hit2 * TOTAL - old) >> 4)
+        self.at += 1
+        old = self.shares[self.at]
+        self.shares[self.at] = old + (((hit1 * TOTAL - old) >> 4) * ~hit2)
+        fresh = (ids << 3) | 1
+        for table, at, seen, known in ((self.order1, self.at1, self.seen1, self.id1), (self.order2, self.at2, self.seen2, self.id2)):
+            sure = seen & 7
             right = (known == ids) & (sure > 0)
-            keep = sure >> 1
-            table[at] = np.where(right, (known << 3) | np.minimum(sure + 1, 7),
-                                 np.where(keep > 0, (known << 3) | keep, (ids << 3) | 1))
-        self.before, self.last = self.last, ids.astype(np.int64)
+            # A right prediction grows surer; a wrong one loses half and gives way when nothing is left.
+            table[at] = np.where(right, np.minimum(sure + 1, 7) | (seen & ~7), np.where(sure > 1, (seen & ~7) | (sure >> 1), fresh))
+        self.before, self.last = self.last, ids.astype(np.uint32)
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,51 +84,62 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return present.astype(np.int64), share.astype(np.int64)
 
 
+def settle(low, width, move) -> None:
+    """Moves words out of, or into, the intervals until every width spans at least 32 bits.
+
+    ``move(at)`` handles the upper word of the blocks ``at``. An interval that
+    straddles a carry while it is narrow is cut at the carry, so no word that
+    has left changes again.
+    """
+    todo = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOT))
+    while len(todo):
+        lo, w = low[todo], width[todo]
+        w = np.where((lo ^ (lo + w)) < _TOP, w, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)))
+        move(todo)
+        lo, w = lo << _16, w << _16
+        low[todo], width[todo] = lo, w
+        todo = todo[((lo ^ (lo + w)) < _TOP) | (w < _BOT)]
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK):
-    """(present ids, frequencies, words of every block as a list of uint16 arrays)."""
+    """(present ids, frequencies, words of every block as a list of uint16 arrays).
+
+    An id is coded in one step: within the interval of the prediction that is
+    right, or within its own part of the rest.
+    """
     present, share = frequencies(ids)
     starts = np.cumsum(share) - share
     blocks = -(-len(ids) // block)
-    padded = np.full(blocks * block, ids[-1], dtype=np.int64)
+    padded = np.full(blocks * block, ids[-1], dtype=np.int32)
     padded[:len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(blocks, block).T)
-    rank = np.zeros(int(present[-1]) + 1, dtype=np.int64)
-    rank[present] = np.arange(len(present))
+    own_start, own_share = (np.zeros(int(present[-1]) + 1, dtype=np.uint64) for _ in range(2))
+    own_start[present], own_share[present] = starts, share
     model = Trust(blocks)
     low, width = np.zeros(blocks, dtype=np.uint64), np.full(blocks, np.uint64(2 ** 64 - 1))
-    # A step writes at most two symbols of 16 bits and a word lost to carries each.
-    out = np.zeros((blocks, 4 * block + 8), dtype=np.uint16)
+    # A step writes 32 bits at most, and seldom a word for a cut at a carry.
+    out = np.zeros((blocks, 3 * block + 8), dtype=np.uint16)
     used = np.zeros(blocks, dtype=np.int64)
 
-    def put(at, start, freq):
-        """Narrows the intervals of the blocks ``at`` and moves settled words out."""
-        part = width[at] >> _16
-        new_low, new_width = low[at] + part * start.astype(np.uint64), part * freq.astype(np.uint64)
-        low[at], width[at] = new_low, new_width
-        todo = np.flatnonzero(((new_low ^ (new_low + new_width)) < _TOP) | (new_width < _BOT))
-        todo = at[todo] if not isinstance(at, slice) else todo
-        while len(todo):
-            lo, w = low[todo], width[todo]
-            w = np.where((lo ^ (lo + w)) < _TOP, w, (~lo + np.uint64(1)) & _LOW)
-            out[todo, used[todo]] = lo >> _48
-            used[todo] += 1
-            lo, w = lo << _16, w << _16
-            low[todo], width[todo] = lo, w
-            todo = todo[((lo ^ (lo + w)) < _TOP) | (w < _BOT)]
-
-    everywhere = slice(None)
+    def move(at):
+        out[at, used[at]] = low[at] >> _48
+        used[at] += 1
+
     for step in steps:
         width2, width1 = model.predict()
         hit2 = (model.id2 == step) & (width2 > 0)
-        hit1 = (model.id1 == step) & (width1 > 0) & ~hit2
-        miss = ~(hit2 | hit1)
+        hit1 = (model.id1 == step) & (width1 > 0)
         both = width2 + width1
-        put(everywhere, np.where(hit2, 0, np.where(hit1, width2, both)),
-            np.where(hit2, width2, np.where(hit1, width1, TOTAL - both)))
-        at = np.flatnonzero(miss)
-        if len(at):
-            k = rank[step[at]]
-            put(at, starts[k], share[k])
+        rest = (TOTAL - both).astype(np.uint64)
+        start = (both.astype(np.uint64) << _16) + rest * own_start[step]
+        freq = rest * own_share[step]
+        at = np.flatnonzero(hit2 | hit1)
+        start[at] = np.where(hit2[at], 0, width2[at]).astype(np.uint64) << _16
+        freq[at] = np.where(hit2[at], width2[at], width1[at]).astype(np.uint64) << _16
+        part = width >> _32
+        low += part * start
+        width = part * freq
+        settle(low, width, move)
         model.learn(step, hit2, hit1)
     for k in range(4):
         out[np.arange(blocks), used] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
@@ -143,55 +151,41 @@ def decode_blocks(present: np.ndarray, share: np.ndarray, words: list[np.ndarray
     """The ``n`` ids of blocks made by ``encode_blocks``."""
     blocks = len(words)
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    first = np.cumsum(sizes) - sizes
-    flat = np.concatenate([*words, np.zeros(8, dtype=np.uint16)]).astype(np.uint64)
-    starts = np.cumsum(share) - share
-    holder = np.repeat(np.arange(len(share)), share)  # slot of the interval -> rank of its id
+    flat = np.concatenate([*words, np.zeros(8, dtype=np.uint16)])
+    starts = (np.cumsum(share) - share).astype(np.uint64)
+    share = share.astype(np.uint64)
+    holder = np.repeat(np.arange(len(share)), share.astype(np.int64))  # place in the rest's interval -> rank of its id
     low, width = np.zeros(blocks, dtype=np.uint64), np.full(blocks, np.uint64(2 ** 64 - 1))
-    code = np.zeros(blocks, dtype=np.uint64)
-    at_word = first.copy()
+    code, at_word = np.zeros(blocks, dtype=np.uint64), np.cumsum(sizes) - sizes
+
+    def move(at):
+        code[at] = (code[at] << _16) | flat[np.minimum(at_word[at], len(flat) - 1)]
+        at_word[at] += 1
+
     for _ in range(4):
-        code = (code << _16) | flat[at_word]
-        at_word += 1
+        move(np.arange(blocks))
     model = Trust(blocks)
     out = np.zeros((block, blocks), dtype=np.uint32)
-    most = np.uint64(TOTAL - 1)
-
-    def slot(at):
-        return np.minimum((code[at] - low[at]) // (width[at] >> _16), most).astype(np.int64)
-
-    def take(at, start, freq):
-        part = width[at] >> _16
-        new_low, new_width = low[at] + part * start.astype(np.uint64), part * freq.astype(np.uint64)
-        low[at], width[at] = new_low, new_width
-        todo = np.flatnonzero(((new_low ^ (new_low + new_width)) < _TOP) | (new_width < _BOT))
-        todo = at[todo] if not isinstance(at, slice) else todo
-        while len(todo):
-            lo, w = low[todo], width[todo]
-            w = np.where((lo ^ (lo + w)) < _TOP, w, (~lo + np.uint64(1)) & _LOW)
-            code[todo] = (code[todo] << _16) | flat[np.minimum(at_word[todo], len(flat) - 1)]
-            at_word[todo] += 1
-            lo, w = lo << _16, w << _16
-            low[todo], width[todo] = lo, w
-            todo = todo[((lo ^ (lo + w)) < _TOP) | (w < _BOT)]
-
-    everywhere = slice(None)
+    whole, most = np.uint64(1 << 32), np.uint64(TOTAL - 1)
     for t in range(block):
         width2, width1 = model.predict()
         both = width2 + width1
-        v = slot(everywhere)
-        hit2 = v < width2
-        hit1 = (v < both) & ~hit2
-        take(everywhere, np.where(hit2, 0, np.where(hit1, width2, both)),
-             np.where(hit2, width2, np.where(hit1, width1, TOTAL - both)))
+        part = width >> _32
+        v = np.minimum((code - low) // part, whole - np.uint64(1))
+        v16 = (v >> _16).astype(np.int32)
+        hit2, hit = v16 < width2, v16 < both
+        start = np.where(hit2, 0, width2).astype(np.uint64) << _16
+        freq = np.where(hit2, width2, width1).astype(np.uint64) << _16
         ids = np.where(hit2, model.id2, model.id1)
-        at = np.flatnonzero(v >= both)
-        if len(at):
-            k = holder[slot(at)]
-            take(at, starts[k], share[k])
-            ids[at] = present[k]
+        at = np.flatnonzero(~hit)
+        rest, base = (TOTAL - both[at]).astype(np.uint64), both[at].astype(np.uint64) << _16
+        k = holder[np.minimum((v[at] - base) // rest, most).astype(np.int64)]
+        start[at], freq[at], ids[at] = base + rest * starts[k], rest * share[k], present[k]
+        low += part * start
+        width = part * freq
+        settle(low, width, move)
         out[t] = ids
-        model.learn(ids, hit2, hit1)
+        model.learn(ids, hit2, hit & ~hit2)
     return out.T.reshape(-1)[:n]
 
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES = 600_000  # distinct pieces a worker keeps before it starts afresh
-BATCH_BYTES = 8 << 20  # text encoded at once
+PIECES = 500_000  # pieces of a generation; a worker keeps two, and pieces in use pass from the old to the new
+BATCH_BYTES = 16 << 20  # text encoded at once
 # A blank after white space, by any definition of it, and before more or the end.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _ODD = rf"{_WHITE} (?:{_WHITE}|\z)"
@@ -30,39 +31,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.sizes = np.zeros(1 << 16, dtype=np.int64)
-        self.ids = np.zeros(1 << 18, dtype=self.dtype)
-        self.used = 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _slots(self, pieces: list[str]) -> np.ndarray:
-        if len(self.slots) > PIECES:
-            self._clear()
-        new = [p for p in pieces if p not in self.slots]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            found = self._encode(part)
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces as bytes."""
+        if len(self.new) > PIECES:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        out = list(map(new.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        unknown = []
+        for i in missing:
+            known = old.get(pieces[i])
+            if known is None:
+                unknown.append(i)
+            else:
+                new[pieces[i]] = out[i] = known
+        for lo in range(0, len(unknown), 20_000):
+            part = unknown[lo:lo + 20_000]
+            found = self._encode([pieces[i] for i in part])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), self.dtype, int(sizes.sum()))
-            first = len(self.slots)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(part) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.ids[self.used:self.used + len(flat)] = flat
-            self.starts[first:first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[first:first + len(part)] = sizes
-            self.used += len(flat)
-            self.slots.update(zip(part, range(first, first + len(part))))
-        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+            flat = np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())).tobytes()
+            ends = (np.cumsum(sizes) * self.dtype().itemsize).tolist()
+            for i, a, b in zip(part, [0, *ends], ends):
+                new[pieces[i]] = out[i] = flat[a:b]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, their ends); null counts as empty."""
@@ -81,17 +78,18 @@ class Encoder:
         codes = coded.indices.to_numpy()
         firsts = offsets[:-1]
         lead = np.unique(codes[firsts]) if len(firsts) else np.empty(0, dtype=np.int64)
-        own = self._slots([" " + p for p in pieces] + [pieces[i] for i in lead])
-        table = own[:len(pieces)]
-        slots = table[codes]
-        start_table = np.zeros(len(pieces), dtype=np.int64)
-        start_table[lead] = own[len(pieces):]
-        slots[firsts] = start_table[codes[firsts]]
-        sizes = self.sizes[slots]
+        own = self._pieces([" " + p for p in pieces] + [pieces[i] for i in lead])
+        pool = np.frombuffer(b"".join(own), self.dtype)
+        pool_sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype().itemsize
+        pool_starts = np.cumsum(pool_sizes) - pool_sizes
+        slots = codes.astype(np.int64)
+        at_lead = np.zeros(len(pieces), dtype=np.int64)
+        at_lead[lead] = len(pieces) + np.arange(len(lead))
+        slots[firsts] = at_lead[codes[firsts]]
+        sizes = pool_sizes[slots]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[slots] - (ends - sizes), sizes) + np.arange(total)
-        ids = self.ids[at]
+        ids = pool[np.repeat(pool_starts[slots] - (ends - sizes), sizes) + np.arange(total)]
         text_ends = np.concatenate([[0], ends])[offsets[1:]]
         if whole:
             return _insert(ids, text_ends, whole, self.dtype)
