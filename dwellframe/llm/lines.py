@@ -178,7 +178,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     t, d = f"c{names.index(text)}", f"c{names.index(doc_id)}"
     spans = repeated_blocks(plain.select(t, d), t, d, min_words)
-    joined = plain.withColumn("k", row_key(d, t)).join(spans, "k", "left")
+    # Sorted and merged at every size: the spans grow with the input, so they are not sent to all tasks.
+    joined = plain.withColumn("k", row_key(d, t)).join(spans.hint("merge"), "k", "left")
     kept = F.filter(F.split(t, "\n"), lambda x, i: ~F.exists("spans", lambda s: i.between(s["first"], s["last"])))
     cleaned = F.when(F.col("spans").isNull(), F.col(t)).otherwise(F.array_join(kept, "\n"))
     none = F.array().cast("array<struct<first:int,last:int>>")
