@@ -1,21 +1,19 @@
 """Frequent itemsets and association rules.
 
-Identical transactions are counted once with a weight. Level k grows each
-frequent prefix by one later item of the same transaction; prefixes that are
-not frequent are dropped before the next level.
+Identical transactions are counted once with a weight. Items that are not
+frequent alone are dropped; the subsets of what is left of a transaction are
+counted as packed numbers in one aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.functions.items import item_dimensions, itemset_text
 from dwellframe.session import stage
 
-BROADCAST_ROWS = 200_000
-CODE_BASE = 1 << 15
-PACKED_ITEMS = 2000
+CODE_BITS = 15
 
 
 def transactions(df: DataFrame, items, min_items: int = 3) -> DataFrame:
@@ -39,63 +37,50 @@ def _encode(tx: DataFrame, names: list[str]) -> DataFrame:
 
 
 def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> DataFrame:
-    """All itemsets up to ``max_len`` with at least ``min_support``.
+    """All itemsets up to ``max_len`` (at most 4) with at least ``min_support``.
 
-    A transaction of ten items has C(10, k) sets of size k, so a level has at
-    most C(10, k) / min_support frequent ones, whatever the number of rows. A
-    level is broadcast only when its counted size is small; a larger one joins
-    by shuffle. The weighted transactions and each level are written once and
-    read back, so no level recomputes the ones before it.
-
-    While the frequent items are few and four 15-bit codes fit a long, prefixes
-    are packed numbers, which group far faster than arrays of texts; otherwise
-    the prefixes stay arrays.
+    Transactions of at most m items have at most m / min_support frequent
+    items, whatever the number of rows, so their names fit the driver and a
+    15-bit code; four codes fit a long. A transaction of ten items has 385
+    subsets of up to four, which are made inside the row and counted by one
+    aggregate with map-side sums.
     """
+    if not 1 <= max_len <= 4:
+        raise ValueError("itemsets have 1 to 4 items")
     tx = stage(tx, "transactions")
-    total = tx.agg(F.sum("weight")).first()[0]
-    if not total:
+    total = tx.agg(F.sum("weight")).first()[0] or 0
+    often = F.col("count") / F.lit(max(total, 1)) >= min_support
+    single = tx.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("count"))
+    names = [r["item"] for r in single.where(often).select("item").orderBy("item").collect()]
+    if len(names) >= 1 << CODE_BITS:
+        raise ValueError("too many frequent items; raise min_support")
+    if not names:
         return tx.select("items", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("support")).where("false")
-
-    def often(counts: DataFrame) -> DataFrame:
-        return counts.where(F.col("count") / F.lit(total) >= min_support)
-
-    items = stage(often(tx.select(F.explode("items").alias("item"), "weight")
-                        .groupBy("item").agg(F.sum("weight").alias("count"))), "items")
-    packed = max_len <= 4 and items.count() <= PACKED_ITEMS
-    if packed:
-        names = [r["item"] for r in items.select("item").orderBy("item").collect()]
-        if not names:
-            return items.select(F.array("item").alias("items"), "count", F.lit(0.0).alias("support"))
-        tx = stage(_encode(tx, names), "coded")
-        empty, extended = F.lit(0).cast("bigint"), F.col("prefix") * CODE_BASE + F.col("item")
-    else:
-        empty, extended = F.array().cast("array<string>"), F.concat("prefix", F.array("item"))
-
-    grown = tx.select(empty.alias("prefix"), F.col("items").alias("rest"), "weight")
-    levels = []
-    for size in range(1, max_len + 1):
-        longer = grown.select("prefix", "rest", "weight", F.posexplode("rest").alias("i", "item")).select(
-            extended.alias("prefix"), F.slice("rest", F.col("i") + 2, F.lit(1 << 20)).alias("rest"), "weight")
-        counts = longer.groupBy("prefix").agg(F.sum("weight").alias("count"))
-        level = stage(often(counts), f"level{size}")
-        levels.append(_unpack(level, names, size) if packed else level)
-        if size == max_len:
-            break
-        known = level.select("prefix")
-        if level.count() <= BROADCAST_ROWS:
-            known = F.broadcast(known)
-        grown = longer.where(F.size("rest") > 0).join(known, "prefix", "left_semi")
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select(F.col("prefix").alias("items"), "count", (F.col("count") / F.lit(total)).alias("support"))
-
-
-def _unpack(level: DataFrame, names: list[str], size: int) -> DataFrame:
+    coded = _encode(tx, names)
+    counts = coded.select(F.explode(_subsets(F.col("items"), max_len)).alias("packed"), "weight").groupBy("packed").agg(
+        F.sum("weight").alias("count"))
+    return counts.where(often).select(_unpack(F.col("packed"), names, max_len).alias("items"), "count",
+                                      (F.col("count") / F.lit(total)).alias("support"))
+
+
+def _subsets(items: Column, max_len: int) -> Column:
+    """Packed codes of all subsets of up to ``max_len`` items; a set of k items fills k times 15 bits."""
+    places = F.sequence(F.lit(0), F.size(items) - 1)
+    level = F.transform(items, lambda x, i: F.struct(x.cast("bigint").alias("code"), i.alias("at")))
+    out = level
+    for _ in range(max_len - 1):
+        level = F.flatten(F.transform(level, lambda c: F.transform(
+            F.filter(places, lambda j: j > c["at"]),
+            lambda j: F.struct((F.shiftleft(c["code"], CODE_BITS) + F.get(items, j)).alias("code"), j.alias("at")))))
+        out = F.concat(out, level)
+    return F.when(F.size(items) > 0, F.transform(out, lambda c: c["code"])).otherwise(F.array().cast("array<bigint>"))
+
+
+def _unpack(packed: Column, names: list[str], max_len: int) -> Column:
+    """Names of a packed set; codes start at 1, so an empty place is 0."""
     texts = F.array(*map(F.lit, names))
-    parts = [F.element_at(texts, F.shiftright("prefix", 15 * (size - 1 - k)).bitwiseAND(F.lit(CODE_BASE - 1)).cast("int"))
-             for k in range(size)]
-    return level.withColumn("prefix", F.array(*parts))
+    codes = [F.shiftright(packed, CODE_BITS * k).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int") for k in reversed(range(max_len))]
+    return F.transform(F.filter(F.array(*codes), lambda x: x > 0), lambda x: F.element_at(texts, x))
 
 
 def rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:
@@ -138,10 +123,11 @@ def screen(rules_df: DataFrame, top_n: int = 50, min_lift: float = 0.8, dimensio
 def mine(tx: DataFrame, min_support: float = 0.03, min_confidence: float = 0.5, max_len: int = 4,
          enough: int = 10, retry=(0.01, 0.3, 3)) -> tuple[DataFrame, DataFrame]:
     """Itemsets and rules; fewer than ``enough`` rules start one retry with looser limits."""
-    itemsets = frequent_itemsets(tx, min_support, max_len)
-    found = rules(itemsets, min_confidence)
+    # Written once: the count below and the result read the same rules.
+    itemsets = stage(frequent_itemsets(tx, min_support, max_len), "itemsets")
+    found = stage(rules(itemsets, min_confidence), "rules")
     if found.limit(enough).count() < enough:
-        itemsets = frequent_itemsets(tx, retry[0], retry[2])
+        itemsets = stage(frequent_itemsets(tx, retry[0], retry[2]), "itemsets")
         found = rules(itemsets, retry[1])
     return itemsets, found
 

@@ -22,7 +22,11 @@ def page(df: DataFrame, order: str, page_no: int, page_size: int) -> DataFrame:
 
 
 def page_after(df: DataFrame, order: str, last, page_size: int) -> DataFrame:
-    """Keyset page: the filter reaches the scan, so deep pages cost no more than early ones."""
+    """Keyset page: deep pages sort no more than early ones.
+
+    The filter reaches the scan only where ``order`` is a stored column; on a
+    computed one every row is read and tested.
+    """
     return df.where(F.col(order) > F.lit(last)).orderBy(order).limit(page_size)
 
 

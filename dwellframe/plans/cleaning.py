@@ -9,7 +9,7 @@ from dwellframe.operators import dedupe
 from dwellframe.operators import statistics as st
 from dwellframe.plans.registry import query
 from dwellframe.plans.views import crawl_log, dealt_listings as listings, on_listings, on_log, table
-from dwellframe.schema import RAW_FIELDS_A
+from dwellframe.schema import RAW_FIELDS_A, RAW_FIELDS_B
 from dwellframe.session import scratch_path
 from dwellframe.sources import feeds, tables
 
@@ -208,21 +208,29 @@ def normalize_union(spark, sf):
 
 @query("csv_feeds", "S1 S2 S3 S4 S9 U1", on_listings("""
     SELECT feed_rank, feed_file, district, count(*) AS rows, cast(sum(rooms) AS bigint) AS rooms,
-           round(sum(area), 1) AS area, count(DISTINCT title) AS titles,
+           round(sum(area), 1) AS area, count(DISTINCT title) AS titles, count(DISTINCT id_key) AS ids,
+           concat('s', feed_rank) AS file_source, count(*) FILTER (feed_rank < 3) AS tagged,
            replace(replace(split_part(feed_file, '_', 2), '.csv', ''), 'all', 'all') AS tag FROM
       (SELECT * FROM listings) GROUP BY ALL""").replace(
     "replace(replace(split_part(feed_file, '_', 2), '.csv', ''), 'all', 'all')",
     "regexp_replace(regexp_replace(feed_file, '[.]csv$', ''), '^(anjuke_m_|anjuke_fast_|anjuke_|lianjia_)', '')"))
 def csv_feeds(spark, sf):
     path = scratch_path(spark, "feeds")
-    df = listings(spark, sf, "id_key", "feed_file", "title", "district", "area", "rooms", "total_price", "unit_price")
-    feeds.write_feed(df.withColumnRenamed("id_key", "id"), path, RAW_FIELDS_A, by_file=True)
+    df = listings(spark, sf, "id_key", "feed_file", "feed_rank", "title", "district", "area", "rooms", "total_price", "unit_price")
+    df = df.withColumnsRenamed({"id_key": "id", "feed_rank": "rank"})
+    df = df.withColumns({"source": F.concat(F.lit("s"), "rank"), "source_id": F.col("id"), "tags": F.lit("t")})
+    second = F.col("feed_file").startswith("lianjia_")
+    # Two layouts under one path: the second source has no tags, followers and image url.
+    feeds.write_feed(df.where(~second), path, RAW_FIELDS_A, by_file=True, mark=True)
+    feeds.write_feed(df.where(second), path, RAW_FIELDS_B, by_file=True, mode="append")
     raw = feeds.read_feed(spark, path, RAW_FIELDS_A, tolerant=True)
     rows = raw.withColumns({"feed_rank": feeds.feed_class(F.col("feed_file")),
                             "tag": feeds.district_from_name(F.col("feed_file"))})
     return rows.groupBy("feed_rank", "feed_file", "district", "tag").agg(
         F.count("*").alias("rows"), F.sum(to_int(F.col("rooms"), 0)).alias("rooms"),
-        F.round(F.sum(to_double(F.col("area"), 0.0)), 1).alias("area"), F.countDistinct("title").alias("titles"))
+        F.round(F.sum(to_double(F.col("area"), 0.0)), 1).alias("area"), F.countDistinct("title").alias("titles"),
+        F.countDistinct("source_id").alias("ids"), F.max("source").alias("file_source"),
+        F.count_if(F.col("tags") == "t").alias("tagged"))
 
 
 @query("typed_nulls", "F1 F2 S5", on_listings("""

@@ -32,8 +32,9 @@ _SETS = _TX + """, ix AS (SELECT unnest(range(1, 11)) AS i),
         WHERE a.i < b.i AND b.i < c.i AND c.i < d.i AND d.i <= len(items) GROUP BY 1),
     freq AS (SELECT items, cast(c AS bigint) AS count, c / (SELECT n FROM total) AS support FROM sets
              WHERE c / (SELECT n FROM total) >= {s} AND len(items) <= {k})"""
-# Rules use the looser retry limits.
-_RULES = _SETS.format(s=0.01, k=3) + """,
+_TRIPLES = _SETS[:_SETS.index("      UNION ALL SELECT [items[a.i], items[b.i], items[c.i], items[d.i]]")] + "),\n" + _SETS[_SETS.index("    freq AS"):]
+# Rules use the looser retry limits and sets of up to three items.
+_RULES = _TRIPLES.format(s=0.01, k=3) + """,
     m AS (SELECT items, support, unnest(range(1, cast(pow(2, len(items)) - 1 AS bigint))) AS mask FROM freq WHERE len(items) > 1),
     sp AS (SELECT support, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS a,
                   list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS c FROM m),
@@ -98,7 +99,7 @@ def itemset_lengths(spark, sf):
 
 
 @query("top_itemsets", "O4", on_listings(f"""
-    WITH {_SETS.format(s=0.03, k=2)} SELECT array_to_string(items, ', ') AS itemset, round(support, 6) AS support FROM freq
+    WITH {_TRIPLES.format(s=0.03, k=2)} SELECT array_to_string(items, ', ') AS itemset, round(support, 6) AS support FROM freq
     ORDER BY freq.support DESC, itemset LIMIT 20"""))
 def top_itemsets(spark, sf):
     sets = mn.frequent_itemsets(_tx(spark, sf), 0.03, 2)

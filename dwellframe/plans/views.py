@@ -65,15 +65,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str, *columns: str, deal: bool = False) -> DataFrame:
     """Listing view with the named columns (all when none is named).
 
-    ``deal`` is for costly per-row work on a table in too few splits: a file
-    with one row group is read by one task, and everything up to the next
-    shuffle would run there, so the joined rows are dealt out to all cores.
-    Tables with more splits than cores pass through unchanged.
+    ``deal`` is for costly per-row work: the joined rows are dealt out by their
+    key, at every size, so that work is even whatever the splits of the files
+    and the skew of the joins before it.
     """
     names = columns or tuple(LISTING_COLUMNS)
     needs = set("".join(LISTING_COLUMNS[n][0] for n in names))
     df = table(spark, sf_dir, "lineitem")
-    few = deal and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
     if needs & {_ORDERS, _CUSTOMER, _NATION}:
         orders = table(spark, sf_dir, "orders")
         if needs & {_CUSTOMER, _NATION}:
@@ -85,8 +83,8 @@ def listings(spark: SparkSession, sf_dir: str, *columns: str, deal: bool = False
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if _PART in needs:
         df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if few:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+    if deal:
+        df = df.repartition("l_orderkey", "l_linenumber")
     return df.select(*[F.expr(LISTING_COLUMNS[n][1]).alias(n) for n in names])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +27,55 @@ def read_feed(spark: SparkSession, path, layout: list[str] | None = None, multi_
               tolerant: bool = False) -> DataFrame:
     """Read CSV feeds as text columns with their position.
 
-    Adds ``feed_file`` and the order columns ``block`` and ``line``: inside one
-    split line numbers grow, splits of a file are ordered by their start, so
-    (feed_file, block, line) is file order without reading a file in one task.
-    ``tolerant`` skips unreadable files and returns nothing for a missing path.
+    Every file is read by its own header: files with equal headers are read
+    together and the groups are united by column name, so feeds with different
+    layouts may lie under one path. ``layout`` names the columns to return;
+    those a file lacks are null. Adds ``feed_file`` and the order columns
+    ``block`` and ``line``: inside one split line numbers grow, splits of a file
+    are ordered by their start, so (feed_file, block, line) is file order
+    without reading a file in one task. ``tolerant`` skips unreadable files and
+    returns nothing for a missing path.
     """
-    reader = (spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-              .option("multiLine", multi_line).option("escape", '"')
-              .option("recursiveFileLookup", True).option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant))
-    if layout is not None:
-        reader = reader.schema(all_strings(layout))
-    df = reader.csv(path)
-    df = df.withColumnsRenamed({c: c.strip().lstrip("﻿") for c in df.columns})
-    return df.select(
-        "*", file_label(F.col("_metadata.file_path")).alias("feed_file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    reader = (spark.read.option("encoding", "UTF-8").option("recursiveFileLookup", True)
+              .option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant))
+    try:
+        found = _headers(reader.text(path))
+    except AnalysisException as e:
+        if not tolerant or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = {}
+    reader = (reader.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+              .option("multiLine", multi_line).option("escape", '"'))
+    out = None
+    for header, files in found.items():
+        names = [c.strip() for c in header]
+        # The reader compares the header with the schema as written; the names are trimmed afterwards.
+        df = reader.schema(all_strings(list(header))).csv(files).select(
+            *[F.col(f"`{h}`").alias(c) for h, c in zip(header, names)],
+            file_label(F.col("_metadata.file_path")).alias("feed_file"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], all_strings(layout or []).add("feed_file", "string").add("block", "long").add("line", "long"))
+    if layout is None:
+        return out
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in layout],
+                      "feed_file", "block", "line")
+
+
+def _headers(lines: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files. One line per file reaches the driver, which lists the files anyway."""
+    path = F.col("_metadata.file_path")
+    first = (lines.select("value", path.alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                          F.monotonically_increasing_id().alias("no"))
+             .where((F.col("start") == 0) & (F.btrim("value") != ""))
+             .groupBy("file").agg(F.min_by("value", "no").alias("head")))
+    decoded = F.coalesce(F.try_url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), F.col("file"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.select(decoded.alias("file"), "head").orderBy("file").collect():
+        header = tuple(next(csv.reader([r.head.lstrip("\ufeff").rstrip("\r")])))
+        out.setdefault(header, []).append(r.file)
+    return out
 
 
 def file_label(path: Column) -> Column:
@@ -149,8 +186,17 @@ def union_feeds(*frames: DataFrame, default_source: str | None = None) -> DataFr
     return out
 
 
-def write_feed(df: DataFrame, path: str, fields: list[str], by_file: bool = False, mode: str = "overwrite") -> None:
-    """CSV sink with a fixed field list; other columns are dropped."""
+def write_feed(df: DataFrame, path: str, fields: list[str], by_file: bool = False, mode: str = "overwrite",
+               mark: bool = False) -> None:
+    """CSV sink with a fixed field list; other columns are dropped.
+
+    ``mark`` puts a byte-order mark before the header of every file, as
+    spreadsheet programs expect.
+    """
+    if mark:
+        # The mark is part of the first header cell; readers of this module drop it.
+        df = df.withColumnRenamed(fields[0], f"\ufeff{fields[0]}")
+        fields = [f"\ufeff{fields[0]}", *fields[1:]]
     cols = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f)
             for f in fields]
     if by_file:

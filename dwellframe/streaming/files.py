@@ -9,8 +9,17 @@ from dwellframe.schema import all_strings
 from dwellframe.sources.feeds import file_label, normalise
 
 
-def watch_feeds(spark: SparkSession, path: str, layout: list[str], files_per_batch: int = 50) -> DataFrame:
-    """New CSV files as normalised rows; the checkpoint remembers the finished ones."""
-    raw = (spark.readStream.schema(all_strings(layout)).option("header", True).option("escape", '"')
-           .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).csv(path))
-    return normalise(raw.withColumn("feed_file", file_label(F.col("_metadata.file_path"))))
+def watch_feeds(spark: SparkSession, layouts: dict[str, list[str]], files_per_batch: int = 50) -> DataFrame:
+    """New CSV files as normalised rows; the checkpoint remembers the finished ones.
+
+    ``layouts`` gives for every watched path the header of its files; a file
+    with another header fails instead of shifting its columns.
+    """
+    out = None
+    for path, layout in layouts.items():
+        raw = (spark.readStream.schema(all_strings(layout)).option("header", True).option("escape", '"')
+               .option("enforceSchema", False).option("recursiveFileLookup", True)
+               .option("maxFilesPerTrigger", files_per_batch).csv(path))
+        rows = normalise(raw.withColumn("feed_file", file_label(F.col("_metadata.file_path"))))
+        out = rows if out is None else out.unionByName(rows)
+    return out

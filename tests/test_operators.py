@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwellframe.functions.identity import stable_key
-from dwellframe.operators import clustering, dedupe, features, filters, increment, mining, synth, topk
+from dwellframe.operators import clustering, dedupe, enrichment, features, filters, increment, mining, synth, topk
 from dwellframe.operators.quantiles import exact_median
 from dwellframe.schema import RAW_FIELDS_A, RAW_FIELDS_B
 from dwellframe.sources import feeds, tables
@@ -93,10 +93,10 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 70 + [1.0, 9.0], [0.0, 1e-300, 1e300], list(range(1001))])
-def test_exact_median(spark, values, monkeypatch):
-    import dwellframe.operators.quantiles as q
-    monkeypatch.setattr(q, "FEW", 3)  # force the bucket search
+@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 70 + [1.0, 9.0], [0.0, 1e-300, 1e300], list(range(1001)),
+                                    [float("inf")] * 3 + [1.0, 2.0], [-float("inf"), 5.0, float("inf")], [-1e308, 1e308, 1e308, 3.0],
+                                    [0.0, 5e-324, 1e-323], [float("inf")] + [x / 7 for x in range(30000)], [-float("inf"), 1.0]])
+def test_exact_median(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
     assert exact_median(df, "x") == statistics.median(values)
 
@@ -158,17 +158,17 @@ def brute_force(transactions, s, k):
     return out
 
 
-def test_itemsets_and_rules_against_brute_force(spark, monkeypatch):
+def test_itemsets_and_rules_against_brute_force(spark):
     rng = random.Random(7)
     data = [sorted({f"d{d}={rng.randint(0, 2)}" for d in range(5) if rng.random() > 0.2}) for _ in range(400)]
     data = [t for t in data if len(t) >= 3]
     df = spark.createDataFrame([(t,) for t in data], "t array<string>")
-    for rows, packed in ((200_000, 2000), (0, 2000), (200_000, 0), (0, 0)):  # broadcast or shuffle, packed or arrays
-        monkeypatch.setattr(mining, "BROADCAST_ROWS", rows)
-        monkeypatch.setattr(mining, "PACKED_ITEMS", packed)
-        sets = mining.frequent_itemsets(mining.transactions(df, F.col("t")), 0.1, 4)
+    for length in (1, 2, 3, 4):
+        sets = mining.frequent_itemsets(mining.transactions(df, F.col("t")), 0.1, length)
         got = {tuple(r["items"]): r["count"] for r in sets.collect()}
-        assert got == brute_force(data, 0.1, 4)
+        assert got == brute_force(data, 0.1, length)
+    assert mining.frequent_itemsets(mining.transactions(df, F.col("t")), 1.0).count() == 0
+    assert mining.frequent_itemsets(mining.transactions(df.limit(0), F.col("t")), 0.1).count() == 0
     n = len(data)
     for r in mining.rules(sets, 0.4).collect():
         whole = tuple(sorted([*r.antecedent, *r.consequent]))
@@ -327,3 +327,84 @@ def test_wall_clock_does_not_follow_the_session_zone(spark):
                       hours_since(F.col("t"), "2024-03-10").alias("h")).first()
         assert (str(r.w), r.m, r.h) == ("2024-03-10 02:30:00.500000", 1710037800500000, 2)
     spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_mixed_layouts_are_read_by_name(spark, tmp_path):
+    write_csv(tmp_path / "anjuke_m_x.csv", RAW_FIELDS_A, [dict(id="1", source="a", source_id="s1", tags="t", fingerprint="f1")])
+    write_csv(tmp_path / "lianjia_x.csv", RAW_FIELDS_B, [dict(id="2", source="b", source_id="s2", fingerprint="f2")])
+    (tmp_path / "anjuke_short.csv").write_text("title, id\n甲,3\n")
+    for layout in (RAW_FIELDS_A, None):
+        rows = {r.id: r for r in feeds.read_feed(spark, str(tmp_path), layout).collect()}
+        assert [(rows[i].source, rows[i].source_id, rows[i].tags, rows[i].fingerprint) for i in "123"] == [
+            ("a", "s1", "t", "f1"), ("b", "s2", None, "f2"), (None, None, None, None)]
+        assert rows["3"].title == "甲"
+    missing = str(tmp_path / "no such folder")
+    none = feeds.read_feed(spark, missing, RAW_FIELDS_A, tolerant=True)
+    assert none.count() == 0 and none.columns[:len(RAW_FIELDS_A)] == RAW_FIELDS_A
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        feeds.read_feed(spark, missing, RAW_FIELDS_A)
+
+
+def test_feed_with_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("1", "甲"), ("2", "乙")], "id string, title string")
+    feeds.write_feed(df, str(tmp_path / "out"), ["id", "title", "tags"], mark=True)
+    parts = [f.read_bytes() for f in (tmp_path / "out").glob("part-*")]
+    assert all(p.startswith(b"\xef\xbb\xbfid,title,tags") for p in parts if p)
+    assert sorted(r.id for r in feeds.read_feed(spark, str(tmp_path / "out")).collect()) == ["1", "2"]
+
+
+def test_detail_rows_never_multiply_listings(spark):
+    rows = spark.createDataFrame([("k", None, 1.0), ("", None, 1.0), (None, None, 1.0), ("x", "old", 1.0)],
+                                 "id string, decoration string, unit_price double")
+    detail = spark.createDataFrame([("k", "first", 1), ("k", "second", 2), ("", "blank", 3), (None, "null", 4), ("x", "new", 5)],
+                                   "id string, decoration string, no int")
+    filled = enrichment.fill_missing(rows, detail, "id", order="no").collect()
+    assert sorted(map(str, ((r.id, r.decoration, r.filled) for r in filled))) == sorted(map(str, [
+        ("k", "second", 1), ("", None, 0), (None, None, 0), ("x", "old", 0)]))
+    over = {r.id: r.decoration for r in enrichment.overwrite_present(rows, detail, "id", order="no").collect()}
+    assert over == {"k": "second", "": None, None: None, "x": "new"}
+
+
+def test_blank_titles_match_nothing(spark):
+    rows = spark.createDataFrame([("d", ""), ("d", None), ("d", "t"), ("e", "t")], "district string, title string")
+    scanned = spark.createDataFrame([("d", "", "1"), ("d", "t", "3"), ("d", "t", "2")], "district string, title string, id string")
+    got = enrichment.match_titles(rows, scanned, "title", "id", "id", by=["district"])
+    assert sorted(map(str, ((r.district, r.title, r.matched) for r in got.collect()))) == sorted(map(str, [
+        ("d", "", None), ("d", None, None), ("d", "t", "2"), ("e", "t", None)]))
+
+
+def test_null_status_is_relisted(spark):
+    t = F.lit("2024-01-01").cast("timestamp_ntz")
+    old = spark.createDataFrame([("a", 100.0, 1.0, None)], "key string, total_price double, unit_price double, status string")
+    old = old.withColumns({"first_seen": t, "last_updated": t})
+    new = spark.createDataFrame([("a", 100.0, 1.0)], "key string, total_price double, unit_price double")
+    r = increment.upsert(old, new, "key", t).first()
+    assert (r.action, r.status) == ("relisted", "on_sale")
+
+
+def test_open_quotas_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(synth, "draw", lambda rows, *_: rows.where("false").select(
+        "district", *[F.lit(None).cast("string").alias(c) for c in synth.OUTPUT if c != "district"]))
+    df = spark.createDataFrame([("d", f"c{i}", 1.0, 1.0, 1.0, 1, 1, 1, "f", "o", "e", 1, 2000, 1.0, 1.0, str(i)) for i in range(12)],
+                               "district string, community string, unit_price double, total_price double, area double, rooms int, "
+                               "halls int, bathrooms int, floor_type string, orientation string, decoration string, total_floors int, "
+                               "build_year int, lng double, lat double, fingerprint string")
+    with pytest.raises(RuntimeError, match="quotas"):
+        synth.generate(df, 30, attempts=2)
+
+
+def test_listing_log_reads_its_buckets_and_drops_old_bases(spark, tmp_path):
+    from dwellframe.streaming.listing_log import ListingLog
+    t = F.lit("2024-01-01").cast("timestamp_ntz")
+    cols = "key string, total_price double, unit_price double, status string"
+    stored = spark.createDataFrame([(f"k{i}", 1.0, 1.0, "on_sale") for i in range(50)], cols).withColumns({"first_seen": t, "last_updated": t})
+    log = ListingLog(spark, str(tmp_path / "log"), "key", compact_every=1, buckets=8)
+    log.load(stored)
+    for b in range(4):
+        batch = spark.createDataFrame([("k1", 10.0 + b, 1.0, 1), (f"n{b}", 5.0, 1.0, 1)], "key string, total_price double, unit_price double, no int")
+        log.apply(batch, b, t, "no")
+    rows = {r.key: r.total_price for r in log.current().collect()}
+    assert len(rows) == 54 and rows["k1"] == 13.0 and rows["n3"] == 5.0
+    assert len(list((tmp_path / "log" / "base").glob("batch=*"))) == 2
+    plan = log.current(spark.createDataFrame([("k1",)], "key string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan
