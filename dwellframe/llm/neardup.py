@@ -4,10 +4,15 @@ Texts with the same set of shingles are one class of copies and are joined
 through one representative. Representatives that share a band hash are
 candidates. Inside a band bucket only links to the bucket's leader are tried
 first; then, in buckets whose members still fall into several groups, every
-member outside the largest group is tried against the members of other groups.
-So no bucket is expanded into all its pairs, and still any two texts that share
-a bucket and reach the threshold end in one class: either their groups were one
-already or the two were compared directly.
+member outside the largest group is compared with the members of other groups
+by sketch, in blocks inside a task, and those that may reach the threshold are
+verified: first the likeliest few of each, then what is still apart. So no
+bucket is expanded into all its pairs, and still any two texts that share a
+bucket and reach the threshold end in one class: either their groups were one
+already or the two were compared directly. The sketch lets a pair at the
+threshold pass with the same probability as the banding. Links inside a group
+that is joined already are not looked for, so ``n_links`` counts the links that
+were verified, which span every group, not all that exist in a large one.
 
 Defined results: null and empty texts have no shingles, link to nothing and are
 classes of their own; a text with fewer words than a shingle is one shingle;
@@ -21,13 +26,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.llm.common import WORD, Scratch, words
 
-SIGNATURE = "key binary, n int, bands array<long>"
+SKETCH = 256  # hashes of a sketch
+SIGNATURE = "key binary, n int, bands array<long>, sketch binary"
+BLOCK = 1024  # members of a bucket that are compared with as many at once
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,6 +53,16 @@ def banding(threshold: float, recall: float, hashes: int = 128) -> tuple[int, in
     raise ValueError("no banding with that many hashes reaches the recall")
 
 
+def least_agreement(threshold: float, recall: float, hashes: int) -> int:
+    """The largest number of equal hashes that a pair at the threshold reaches with probability ``recall``."""
+    below = 0.0
+    for n in range(hashes + 1):
+        below += math.comb(hashes, n) * threshold ** n * (1 - threshold) ** (hashes - n)
+        if below > 1 - recall:
+            return n
+    return hashes
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _MIX[0]
     x = (x ^ (x >> np.uint64(33))) * _MIX[1]
@@ -64,16 +82,18 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Signer:
-    def __init__(self, width: int, bands: int, rows: int, seed: int = 1):
+    """Band hashes and sketch of a text; the bands use the first of the sketch's hashes."""
+
+    def __init__(self, width: int, bands: int, rows: int, hashes: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.width, self.bands, self.rows = width, bands, rows
-        self.factors = rng.integers(0, 2 ** 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.offsets = rng.integers(0, 2 ** 63, bands * rows, dtype=np.uint64)
+        self.factors = rng.integers(0, 2 ** 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.offsets = rng.integers(0, 2 ** 63, hashes, dtype=np.uint64)
 
     def minima(self, s: np.ndarray) -> np.ndarray:
         out = np.full(len(self.factors), np.uint64(2 ** 64 - 1))
-        for lo in range(0, len(s), 4096):
-            part = s[None, lo:lo + 4096] * self.factors[:, None] + self.offsets[:, None]
+        for lo in range(0, len(s), 1024):
+            part = s[None, lo:lo + 1024] * self.factors[:, None] + self.offsets[:, None]
             # The low bits of a product depend on few bits of the shingle, so the halves are folded.
             part ^= part >> np.uint64(32)
             out = np.minimum(out, part.min(axis=1))
@@ -82,12 +102,14 @@ class Signer:
     def sign(self, hashes: np.ndarray):
         s = shingles(hashes, self.width)
         if not len(s):
-            return None, 0, []
-        minima = self.minima(s).reshape(self.bands, self.rows)
+            return None, 0, [], None
+        minima = self.minima(s)
+        sketch = (minima & np.uint64(255)).astype(np.uint8).tobytes()
+        minima = minima[:self.bands * self.rows].reshape(self.bands, self.rows)
         band = np.arange(1, self.bands + 1, dtype=np.uint64)
         for r in range(self.rows):
             band = _mixed(band * _BASE + minima[:, r])
-        return xxhash.xxh3_128_digest(s.tobytes()), len(s), band.view(np.int64)
+        return xxhash.xxh3_128_digest(s.tobytes()), len(s), band.view(np.int64), sketch
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -115,6 +137,42 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select("key", "label")
 
 
+def other_pairs(members: DataFrame, least: int, best: int | None) -> DataFrame:
+    """(a, b): pairs of a bucket's members in different groups, one of them outside the largest, that may be similar.
+
+    ``members`` are (bucket, key, label, main, sketch). Members are laid in
+    blocks of about ``BLOCK``, and a block outside the largest group meets every
+    block of its bucket. A sketch keeps 8 bits of each hash; only pairs with
+    ``least`` equal ones leave the task, and of these, unless ``best`` is None,
+    only the ``best`` of a member in a block.
+    """
+    n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    dealt = members.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "label", "sketch")).alias(name)).select("bucket", name)
+
+    def compare(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.as_py(), y.as_py()
+                sx, sy = (np.frombuffer(b"".join(m["sketch"] for m in z), np.uint8).reshape(len(z), -1) for z in (x, y))
+                ids = {v: i for i, v in enumerate({m["label"] for m in (*x, *y)})}
+                lx, ly = (np.array([ids[m["label"]] for m in z]) for z in (x, y))
+                found = []
+                for i in range(len(x)):
+                    equal = (sx[i] == sy).sum(axis=1) * (lx[i] != ly)
+                    near = np.flatnonzero(equal >= least)
+                    if best is not None and len(near) > best:
+                        near = near[np.argsort(-equal[near], kind="stable")[:best]]
+                    found += [tuple(sorted((x[i]["key"], y[j]["key"]))) for j in near]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    outside = blocks(dealt.where("label <> main"), "x")
+    met = outside.join(blocks(dealt, "y"), "bucket").select("x", "y")
+    return met.mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,
                  threshold: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """(members, links).
@@ -127,11 +185,11 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     """
     scratch = Scratch(docs.sparkSession)
     bands, rows = banding(threshold, recall)
-    signer = Signer(width, bands, rows)
+    signer = Signer(width, bands, rows, max(SKETCH, bands * rows))
 
     @F.pandas_udf(SIGNATURE)
     def sign(hashes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signer.sign(x) for x in hashes], columns=["key", "n", "bands"])
+        return pd.DataFrame([signer.sign(x) for x in hashes], columns=["key", "n", "bands", "sketch"])
 
     @F.pandas_udf("array<long>")
     def shingle_set(hashes: pd.Series) -> pd.Series:
@@ -141,7 +199,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     signed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), sign(hashed).alias("s"))
     signed = scratch.keep(signed.select("doc_id", "text_hash", "s.*"), "signatures")
     reps = signed.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("copy_id"), F.min("text_hash").alias("rep_hash"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("copy_id"), F.min("text_hash").alias("rep_hash"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = scratch.keep(reps, "representatives")
 
     banded = reps.select("key", F.explode("bands").alias("bucket"))
@@ -177,20 +235,24 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     links = verified(tried)
     labels = components(links, scratch)
 
-    grouped = scratch.keep(live.join(labels, "key", "left").select(
-        "bucket", "key", F.coalesce("label", "key").alias("label")), "grouped")
-    sizes = grouped.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.min("label").alias("lo"),
-                                        F.max("label").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("bucket", F.col("main.label").alias("main"))
-    mixed = scratch.keep(grouped.join(mixed, "bucket"), "mixed")
-    outside = mixed.where("label <> main").select("bucket", F.col("key").alias("x"), F.col("label").alias("lx"))
-    rest = outside.join(mixed.select("bucket", "key", "label"), "bucket").where("lx <> label").select(
-        *pair(F.col("x"), F.col("key")))
-    more = verified(rest.join(tried.distinct(), ["a", "b"], "left_anti"))
-    links = scratch.keep(links.unionByName(more), "all-links")
-    if more.head(1):
-        labels = components(links, scratch)
+    # First the likeliest partners of each member outside its bucket's largest group, then all that are left.
+    tried = scratch.keep(tried.distinct(), "tried")
+    for best in (8, None):
+        grouped = scratch.keep(live.join(labels, "key", "left").select(
+            "bucket", "key", F.coalesce("label", "key").alias("label")), "grouped")
+        sizes = grouped.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.min("label").alias("lo"),
+                                            F.max("label").alias("hi"))
+        mixed = grouped.join(mixed.where("lo <> hi").select("bucket", F.col("main.label").alias("main")), "bucket")
+        mixed = scratch.keep(mixed.join(reps.select("key", "sketch"), "key"), "mixed")
+        rest = other_pairs(mixed, least_agreement(threshold, recall, len(signer.factors)), best)
+        rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "others")
+        more = verified(rest)
+        tried = tried.unionByName(rest)
+        if more.head(1):
+            links = scratch.keep(links.unionByName(more), "all-links")
+            labels = components(links, scratch)
+        scratch.drop(grouped, mixed)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_links"))
