@@ -211,32 +211,30 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
+    # Every member of a shared bucket is tried against its leader, so its shingles are needed: they are made once, from
+    # one text per representative. Copies are merged before the texts are shuffled.
+    wanted = scratch.keep(reps.select("key", "rep_hash").join(live.select("key").distinct(), "key"), "wanted")
+    texts = docs.select(F.xxhash64(text).alias("rep_hash"), F.col(text).alias("t")).groupBy("rep_hash").agg(
+        F.first("t").alias("t"))
+    sets = texts.join(wanted.hint("merge"), "rep_hash").select(
+        "key", shingle_set(F.transform(words(F.col("t")), lambda w: F.xxhash64(w))).alias("set"))
+    sets = scratch.keep(sets, "shingles")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs.distinct(), "candidates")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = scratch.keep(reps.select("key", "rep_hash").join(keys, "key"), "wanted")
-        # One text per representative, picked before its shingles are made.
-        texts = docs.select(F.xxhash64(text).alias("rep_hash"), F.col(text).alias("t")).join(
-            wanted.select("rep_hash").distinct(), "rep_hash", "left_semi").groupBy("rep_hash").agg(F.first("t").alias("t"))
-        sets = texts.join(wanted, "rep_hash").select(
-            "key", shingle_set(F.transform(words(F.col("t")), lambda w: F.xxhash64(w))).alias("set"))
-        sets = scratch.keep(sets, "shingles")
         left = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"))
         right = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         scored = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (
             F.size("sa") + F.size("sb")).alias("sizes"))
-        out = scratch.keep(scored.select("a", "b", (F.col("both") / (F.col("sizes") - F.col("both"))).alias(
+        return scratch.keep(scored.select("a", "b", (F.col("both") / (F.col("sizes") - F.col("both"))).alias(
             "similarity")).where(F.col("similarity") >= threshold), "links")
-        scratch.drop(sets, wanted)
-        return out
 
     tried = live.where("key <> leader").select(*pair(F.col("key"), F.col("leader")))
+    tried = scratch.keep(tried.distinct(), "tried")
     links = verified(tried)
     labels = components(links, scratch)
 
     # First the likeliest partners of each member outside its bucket's largest group, then all that are left.
-    tried = scratch.keep(tried.distinct(), "tried")
     for best in (8, None):
         grouped = scratch.keep(live.join(labels, "key", "left").select(
             "bucket", "key", F.coalesce("label", "key").alias("label")), "grouped")
@@ -254,13 +252,14 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             labels = components(links, scratch)
         scratch.drop(grouped, mixed)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(
+    degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("key", "copy_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     names = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     classes = classes.join(names, "label").join(degree, "key", "left").select(
         F.col("key").alias("c_key"), "label", "copy_id", "class_id", "n_links")
     classes = scratch.keep(classes, "classes")
+    scratch.drop(live, wanted, sets)
     alone = F.col("key").isNull()
     # Texts without shingles get a random join key of their own, not one shared null.
     at = F.coalesce("key", F.unhex(F.md5(F.col("doc_id").cast("string"))))
