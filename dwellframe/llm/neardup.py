@@ -140,28 +140,32 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def other_pairs(members: DataFrame, least: int, best: int | None) -> DataFrame:
     """(a, b): pairs of a bucket's members in different groups, one of them outside the largest, that may be similar.
 
-    ``members`` are (bucket, key, label, main, sketch). Members are laid in
-    blocks of about ``BLOCK``, and a block outside the largest group meets every
-    block of its bucket. A sketch keeps 8 bits of each hash; only pairs with
-    ``least`` equal ones leave the task, and of these, unless ``best`` is None,
-    only the ``best`` of a member in a block.
+    ``members`` are (bucket, key, label, main, sketch, bands). Members are laid
+    in blocks of about ``BLOCK``, and a block outside the largest group meets
+    every block of its bucket. A pair is looked at in the first bucket that both
+    share. A sketch keeps 8 bits of each hash; only pairs with ``least`` equal
+    ones leave the task, and of these, unless ``best`` is None, only the
+    ``best`` of a member in a block.
     """
     n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     dealt = members.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "label", "sketch")).alias(name)).select("bucket", name)
+        return df.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "label", "sketch", "bands")).alias(name)).select(
+            "bucket", name)
 
     def compare(batches):
         for batch in batches:
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            for bucket, x, y in zip(batch.column("bucket").to_pylist(), batch.column("x"), batch.column("y")):
                 x, y = x.as_py(), y.as_py()
+                bx, by = (np.array([m["bands"] for m in z]) for z in (x, y))
                 sx, sy = (np.frombuffer(b"".join(m["sketch"] for m in z), np.uint8).reshape(len(z), -1) for z in (x, y))
                 ids = {v: i for i, v in enumerate({m["label"] for m in (*x, *y)})}
                 lx, ly = (np.array([ids[m["label"]] for m in z]) for z in (x, y))
                 found = []
                 for i in range(len(x)):
-                    equal = (sx[i] == sy).sum(axis=1) * (lx[i] != ly)
+                    here = (bx[i] == by).argmax(axis=1) == np.flatnonzero(bx[i] == bucket)[0]
+                    equal = (sx[i] == sy).sum(axis=1) * (lx[i] != ly) * here
                     near = np.flatnonzero(equal >= least)
                     if best is not None and len(near) > best:
                         near = near[np.argsort(-equal[near], kind="stable")[:best]]
@@ -169,7 +173,7 @@ def other_pairs(members: DataFrame, least: int, best: int | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in range(2)], names=["a", "b"])
 
     outside = blocks(dealt.where("label <> main"), "x")
-    met = outside.join(blocks(dealt, "y"), "bucket").select("x", "y")
+    met = outside.join(blocks(dealt, "y"), "bucket").select("bucket", "x", "y")
     return met.mapInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -242,7 +246,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
         mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.min("label").alias("lo"),
                                             F.max("label").alias("hi"))
         mixed = grouped.join(mixed.where("lo <> hi").select("bucket", F.col("main.label").alias("main")), "bucket")
-        mixed = scratch.keep(mixed.join(reps.select("key", "sketch"), "key"), "mixed")
+        mixed = scratch.keep(mixed.join(reps.select("key", "sketch", "bands"), "key"), "mixed")
         rest = other_pairs(mixed, least_agreement(threshold, recall, len(signer.factors)), best)
         rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "others")
         more = verified(rest)
