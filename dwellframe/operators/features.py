@@ -105,3 +105,14 @@ def feature_table(df: DataFrame, key: str, as_of_year: int = 2026, fit_on: str =
     base = stage(real_only(df).where(valid_for_analysis() & within_trim()), "features")
     rows = split_by_hash(prepared(base, as_of_year, legacy_zeros), key)
     return target_encode(rows, fit_on)
+
+
+def folded_features(df: DataFrame, key: str, folds: int = 5, as_of_year: int = 2026) -> list[DataFrame]:
+    """One feature table per fold of the training side; ``is_test`` marks the fold.
+
+    Codes are fitted on the other folds only, so no fold sees its own targets.
+    """
+    base = stage(real_only(df).where(valid_for_analysis() & within_trim()), "features")
+    rows = fold_by_hash(split_by_hash(prepared(base, as_of_year), key).where(~F.col("is_test")), key, folds)
+    rows = stage(rows, "folds")
+    return [target_encode(rows.withColumn("is_test", F.col("fold") == i)) for i in range(folds)]

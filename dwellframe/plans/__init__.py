@@ -4,7 +4,7 @@ from dwellframe.plans import registry
 
 _MODULES = (
     "statistics", "search", "cleaning", "enrichment", "increment", "webpages",
-    "features", "mining", "modelling", "synthesis", "streams",
+    "features", "mining", "synthesis", "streams", "modelling",
 )
 
 

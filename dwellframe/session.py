@@ -47,6 +47,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Lets iterative learners cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back.
 
