@@ -20,6 +20,7 @@ HEADLINE = [
     "daily_log_stats", "search_filters", "search_page", "nearest_topk", "price_repair", "dedupe_cross_file",
     "dedupe_fingerprint", "missing_profile", "enrich_fill_missing", "upsert_v1", "mark_stale", "page_links",
     "page_overlap", "features", "frequent_itemsets", "cluster_profile", "regression_metrics", "quota",
+    "rules", "synthetic_rows", "stream_upsert",
 ]
 
 
