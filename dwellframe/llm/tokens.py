@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES = 500_000  # pieces of a generation; a worker keeps two, and pieces in use pass from the old to the new
-BATCH_BYTES = 16 << 20  # text encoded at once
+PIECES = 250_000  # pieces of a generation; a worker keeps two, and pieces in use pass from the old to the new
+BATCH_BYTES = 8 << 20  # text encoded at once
 # A blank after white space, by any definition of it, and before more or the end.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _ODD = rf"{_WHITE} (?:{_WHITE}|\z)"
@@ -121,6 +121,8 @@ def text_slices(batch: pa.RecordBatch, text: str):
         base = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, base + BATCH_BYTES, side="right")))
         yield batch.slice(lo, hi - lo)
+        # What the last part needed goes back to the system: workers share a small executor with the JVM.
+        pa.default_memory_pool().release_unused()
         lo = hi
 
 
