@@ -10,9 +10,13 @@ verified: first the likeliest few of each, then what is still apart. So no
 bucket is expanded into all its pairs, and still any two texts that share a
 bucket and reach the threshold end in one class: either their groups were one
 already or the two were compared directly. The sketch lets a pair at the
-threshold pass with the same probability as the banding. Links inside a group
-that is joined already are not looked for, so ``n_links`` counts the links that
-were verified, which span every group, not all that exist in a large one.
+threshold pass with the same probability as the banding.
+
+The links themselves are counted afterwards, class by class: unless all pairs of
+a class are links already, its members meet in blocks with their full shingle
+sets, every pair that shares a band is verified, and only sums per
+representative leave the task. The links table holds the same pairs; it is
+expanded only where somebody reads it.
 
 Defined results: null and empty texts have no shingles, link to nothing and are
 classes of their own; a text with fewer words than a shingle is one shingle;
@@ -23,6 +27,7 @@ its smallest id (null if it has none); an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,7 +40,9 @@ from dwellframe.llm.common import WORD, Scratch, words
 
 SKETCH = 256  # hashes of a sketch
 SIGNATURE = "key binary, n int, bands array<long>, sketch binary"
-BLOCK = 1024  # members of a bucket that are compared with as many at once
+BLOCK = 1024  # members of a bucket or class that are compared with as many at once
+BLOCK_SHINGLES = 1 << 18  # shingles of a block of a class
+COLUMNS = 4096  # shingles that are multiplied at once
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,15 +184,107 @@ def other_pairs(members: DataFrame, least: int, best: int | None) -> DataFrame:
     return met.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` has in common with each of ``y``."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    ix, iy = (np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (x, y))
+    shared = np.intersect1d(fx, fy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        part = shared[lo:lo + COLUMNS]
+        sides = []
+        for flat, row, n in ((fx, ix, len(x)), (fy, iy, len(y))):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """(i, j, sides): every two blocks of a class once, each cell a row of its own.
+
+    ``members`` are (label, blocks, key, bands, set); a side is (block, its members).
+    """
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    rows = dealt.groupBy("label", "blocks", "block").agg(F.collect_list(F.struct("key", "bands", "set")).alias("m"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = rows.select("label", "block", "m", every)
+    return met.groupBy("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
+        F.collect_list(F.struct("block", "m")).alias("sides")).select("i", "j", "sides")
+
+
+def linked(row: dict, threshold: float):
+    """(keys of x, keys of y, links, similarity) of a cell; within one block a pair is a link once."""
+    sides = {s["block"]: s["m"] for s in row["sides"]}
+    x, y = sides[row["i"]], sides[row["j"]]
+    both = common_shingles(*([np.array(m["set"], np.int64) for m in z] for z in (x, y)))
+    nx, ny = (np.array([len(m["set"]) for m in z]) for z in (x, y))
+    similarity = both / (nx[:, None] + ny[None, :] - both)
+    bx, by = (np.array([m["bands"] for m in z]) for z in (x, y))
+    banded = np.zeros(both.shape, bool)
+    for k in range(bx.shape[1]):
+        banded |= bx[:, k, None] == by[None, :, k]
+    links = banded & (similarity >= threshold)
+    if row["i"] == row["j"]:
+        links = np.triu(links, 1)
+    return [m["key"] for m in x], [m["key"] for m in y], links, similarity
+
+
+def count_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, n): links of each member with others of its class, summed in every task."""
+
+    def count(batches):
+        sums = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["key", "n"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                kx, ky, links, _ = linked(batch.slice(at, 1).to_pylist()[0], threshold)
+                for keys, ns in ((kx, links.sum(axis=1)), (ky, links.sum(axis=0))):
+                    for key, n in zip(keys, ns.tolist()):
+                        if n:
+                            sums[key] += n
+                if len(sums) > 1 << 18:
+                    yield out()
+                    sums.clear()
+        yield out()
+
+    sums = cells(members).mapInArrow(count, "key binary, n long")
+    return sums.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def list_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): the links that ``count_links`` counts."""
+
+    def pairs(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                kx, ky, links, similarity = linked(batch.slice(at, 1).to_pylist()[0], threshold)
+                for i in range(len(kx)):
+                    js = np.flatnonzero(links[i])
+                    found = [tuple(sorted((kx[i], ky[j]))) for j in js]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in found], pa.binary()) for k in range(2)),
+                                                      pa.array(similarity[i, js], pa.float64())], names=["a", "b", "similarity"])
+
+    return cells(members).mapInArrow(pairs, "a binary, b binary, similarity double")
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,
-                 threshold: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
+                 threshold: float = 0.8, recall: float = 0.999, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     ``members`` has a row per document: doc_id, ``text_hash``, copy_id (smallest
     id with the same shingles), class_id (smallest id of its linked group),
-    n_links (verified links of its class of copies) and ``copy_key``. ``links``
-    are the verified pairs of representatives (a, b, similarity); they span
-    every group.
+    n_links (links of its class of copies to others) and ``copy_key``. ``links``
+    are all pairs of representatives (a, b, similarity) that share a band and
+    reach the threshold; in large groups they are found anew when it is read.
+    Who needs the classes only sets ``counted`` to False: ``n_links`` is null
+    then and ``links`` only span the classes.
     """
     scratch = Scratch(docs.sparkSession)
     bands, rows = banding(threshold, recall)
@@ -256,12 +355,27 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             labels = components(links, scratch)
         scratch.drop(grouped, mixed)
 
-    degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_links"))
+    degree = None
+    if counted:
+        # So far the links span every class. Where they are not all of its pairs, the others are looked for.
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        spans = links.join(labels.withColumnRenamed("key", "a"), "a").groupBy("label").agg(F.count(F.lit(1)).alias("spanned"))
+        partial = sizes.join(spans, "label").where(F.col("spanned") < F.col("n") * (F.col("n") - 1) / 2).select("label", "n")
+        partial = labels.join(partial, "label").join(sets, "key").join(reps.select("key", "bands"), "key")
+        partial = scratch.keep(partial, "partial")
+        shingled = partial.groupBy("label").agg(F.sum(F.size("set")).alias("all")).select("label", "all")
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("long")
+        dense = partial.join(shingled, "label").select("label", blocks.alias("blocks"), "key", "bands", "set")
+        whole = links.join(partial.select(F.col("key").alias("a")), "a", "left_anti")
+        degree = whole.select(F.col("a").alias("key")).union(whole.select("b")).groupBy("key").agg(
+            F.count(F.lit(1)).alias("n")).unionByName(count_links(dense, threshold))
+        degree = scratch.keep(degree.withColumnRenamed("n", "n_links"), "degrees")
+        links = whole.unionByName(list_links(dense, threshold))
     classes = reps.select("key", "copy_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     names = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    classes = classes.join(names, "label").join(degree, "key", "left").select(
-        F.col("key").alias("c_key"), "label", "copy_id", "class_id", "n_links")
+    classes = classes.join(names, "label")
+    classes = classes.join(degree, "key", "left") if counted else classes.withColumn("n_links", F.lit(None).cast("long"))
+    classes = classes.select(F.col("key").alias("c_key"), "label", "copy_id", "class_id", "n_links")
     classes = scratch.keep(classes, "classes")
     scratch.drop(live, wanted, sets)
     alone = F.col("key").isNull()
@@ -272,7 +386,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
         "doc_id", "text_hash", F.col("key").alias("copy_key"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "label",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        (F.coalesce("n_links", F.lit(0)) if counted else F.col("n_links")).cast("long").alias("n_links"))
     return members, links
 
 
@@ -284,7 +398,7 @@ def one_per_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *
     names = list(docs.columns)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     t, d = f"c{names.index(text)}", f"c{names.index(doc_id)}"
-    members, _ = jaccard_join(plain, t, d, **options)
+    members, _ = jaccard_join(plain, t, d, counted=False, **options)
     scratch = Scratch(docs.sparkSession)
     # The row that stays is known by its id and text; equal rows beside it are dropped last.
     same = members.where("label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))

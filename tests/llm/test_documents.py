@@ -231,6 +231,25 @@ def test_classes_equal_brute_force(spark, seed):
     assert len(linked_twice) == found.count() and all(x["n_links"] >= 0 for x in got.values())
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_all_links_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = list(dict.fromkeys(variants(random.Random(7), 4, 60)))
+    _, links, sets = brute.near_classes({i: (i, t) for i, t in enumerate(texts)})
+    assert len(set(sets.values())) == len(texts)
+    want = Counter(i for pair in links for i in pair)
+    members, found = neardup.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in rows_of(members)}
+    by_key = {bytes(r["copy_key"]): i for i, r in got.items()}
+    listed = [tuple(sorted((by_key[bytes(r["a"])], by_key[bytes(r["b"])]))) for r in rows_of(found)]
+    # Banding finds a pair at the threshold with probability 0.999 and closer pairs more surely.
+    assert len(set(listed)) == len(listed) and set(listed) <= {tuple(sorted(x)) for x in links}
+    assert len(listed) >= 0.998 * len(links)
+    counted = Counter(i for pair in listed for i in pair)
+    assert {i: r["n_links"] for i, r in got.items()} == {i: counted[i] for i in got}
+    assert sum(want.values()) - sum(r["n_links"] for r in got.values()) <= 0.002 * sum(want.values())
+
+
 def test_near_duplicate_edge_cases(hard_documents, clashing, no_documents):
     members, _ = neardup.jaccard_join(hard_documents)
     rows = rows_of(members)
