@@ -118,10 +118,9 @@ def repeated_lines(later, words, earlier, earlier_words, min_words: int) -> list
     starts, runs = line_runs(later, words, min_words)
     known = np.isin(runs, line_runs(earlier, np.asarray(earlier_words), min_words)[1])
     ends = np.concatenate([[0], np.cumsum(words)])
+    # Runs of one passage overlap; every line that a known run covers goes.
     for i in starts[known]:
-        j = int(np.searchsorted(ends, ends[i] + min_words))
-        if not gone[i:j].any():
-            gone[i:j] = True
+        gone[i:int(np.searchsorted(ends, ends[i] + min_words))] = True
     return np.flatnonzero(gone).tolist()
 
 

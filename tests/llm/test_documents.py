@@ -190,6 +190,13 @@ def test_line_edge_cases(clashing, no_documents):
     assert lines.dedup_lines(no_documents).count() == 0
 
 
+def test_moved_passage_goes_whole():
+    p, q = [1, 2, 3, 4], [11, 12, 13, 14, 15]
+    later, earlier = q + p, p + q
+    gone = lines.repeated_lines(later, [20] * 9, earlier, [20] * 9, 50)
+    assert gone == list(range(9))
+
+
 # Near duplicates
 
 def test_banding_reaches_recall():
