@@ -40,11 +40,13 @@ PATTERNS = {
     "card": r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w)",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})*",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# The same, with what is found by its context as group 1.
+MARKED = "|".join(f"({p})" if n == "secret" else f"(?:{p})" for n, p in PATTERNS.items())
 # Whoever lacks all of these has no entity; most texts stop here.
-HINT = rf"[0-9@=]|(?:{_TITLES})\.? \p{{Lu}}|(?i:password|passwd|token|secret|key)[ \t]{{0,3}}:"
+HINT = rf"[0-9@=]|AKIA|ASIA|(?:{_TITLES})\.? \p{{Lu}}|(?i:password|passwd|token|secret|key)[ \t]{{0,3}}:"
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Syllables and endings of invented names by script.
@@ -66,10 +68,19 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
-def kind(entity: Column) -> Column:
-    """The type of an entity, by its looks alone; what looks like nothing else is a secret.
+def marked(text: Column, ents: Column) -> Column:
+    """array<struct<entity, secret>>: whether a context names an entity a secret, looked up where one looks like a card."""
+    card = F.exists(ents, lambda e: e.rlike(rf"^(?:{PATTERNS['card']})$"))
+    named = F.when(card, F.regexp_extract_all(text, F.lit(MARKED), F.lit(1)))
+    return let(named, lambda m: F.transform(ents, lambda e, i: F.struct(
+        e.alias("entity"), (F.coalesce(F.get(m, i), F.lit("")) != "").alias("secret"))))
 
-    A number with the length of a card number that fails the check sum is none and stays as it is.
+
+def kind(entity: Column, secret: Column) -> Column:
+    """The type of an entity, by its looks; what looks like nothing else is a secret.
+
+    A number with the length of a card number that fails the check sum is none and stays as it is, unless its context
+    names it a ``secret``.
     """
     out = F.lit("secret")
     for name in reversed([n for n in PATTERNS if n != "secret"]):
@@ -78,7 +89,7 @@ def kind(entity: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     valid = F.substring(digits, -1, 1) == luhn_digit(body)
-    return F.when((out == "card") & ~valid, F.lit(OTHER)).otherwise(out)
+    return F.when((out == "card") & ~valid, F.when(secret, F.lit("secret")).otherwise(F.lit(OTHER))).otherwise(out)
 
 
 def units(entity: Column, type_: Column) -> Column:
@@ -96,7 +107,7 @@ def units(entity: Column, type_: Column) -> Column:
         script = F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
         return F.struct(F.concat_ws(":", F.lit("name"), role, script).alias("type"), F.lower(word).alias("canon"))
 
-    parts = F.slice(F.split(entity, " "), F.lit(2), F.lit(8))
+    parts = F.filter(F.split(entity, " "), lambda w, i: i > 0)
     names = F.transform(parts, lambda w, i: part(w, F.when(i == F.size(parts) - 1, F.lit("surname")).otherwise(gender)))
     return F.when(type_ == "person", names).otherwise(single)
 
@@ -205,18 +216,18 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     found = plain.withColumn("ents", F.coalesce(entities(F.col(t)), F.array().cast("array<string>")))
     hits = found.where(F.size("ents") > 0).withColumn("k", F.unhex(F.md5(F.col(t))))
 
-    mentions = hits.select("k", "ents").groupBy("k").agg(F.first("ents").alias("ents")).select(
-        "k", F.posexplode("ents").alias("at", "entity"))
+    mentions = hits.select("k", marked(F.col(t), F.col("ents")).alias("ents")).groupBy("k").agg(
+        F.first("ents").alias("ents")).select("k", F.posexplode("ents").alias("at", "e")).select("k", "at", "e.*")
     mentions = scratch.keep(mentions, "mentions")
-    known = mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity")))
-    known = scratch.keep(known.select("entity", "kind", units(F.col("entity"), F.col("kind")).alias("units")), "entities")
-    parts = known.where(F.col("kind") != OTHER).select("entity", "kind", F.posexplode("units").alias("i", "u")).select(
-        "entity", "kind", "i", "u.*")
+    known = mentions.select("entity", "secret").distinct().withColumn("kind", kind(F.col("entity"), F.col("secret")))
+    known = scratch.keep(known.select("entity", "secret", "kind", units(F.col("entity"), F.col("kind")).alias("units")), "entities")
+    parts = known.where(F.col("kind") != OTHER).select("entity", "secret", "kind", F.posexplode("units").alias("i", "u")).select(
+        "entity", "secret", "kind", "i", "u.*")
     mapping = assign(scratch.keep(parts.select("type", "canon").distinct(), "distinct"), key, scratch)
-    news = parts.join(mapping, ["type", "canon"]).groupBy("entity", "kind").agg(
+    news = parts.join(mapping, ["type", "canon"]).groupBy("entity", "secret", "kind").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]), " ").alias("new"))
-    news = scratch.keep(news.select("entity", rendered(F.col("entity"), F.col("kind"), F.col("new")).alias("new")), "rendered")
-    by_text = mentions.join(news, "entity", "left").groupBy("k").agg(
+    news = scratch.keep(news.select("entity", "secret", rendered(F.col("entity"), F.col("kind"), F.col("new")).alias("new")), "rendered")
+    by_text = mentions.join(news, ["entity", "secret"], "left").groupBy("k").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "entity").alias("new")))),
                     lambda x: x["new"]).alias("news"), F.count("new").cast("int").alias("n"))
     by_text = scratch.keep(by_text, "replacements")
