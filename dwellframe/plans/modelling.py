@@ -175,13 +175,38 @@ def gbt_importance(spark, sf):
     return md.importances(model, table(spark, sf, "nation"))
 
 
+@query("gbt_unit_importance", "M6 M9 W6")
+def gbt_unit_importance(spark, sf):
+    model, _ = md.train_and_score(_model_rows(spark, sf), md.boosting("unit_price"))
+    return md.importances(model, table(spark, sf, "nation"))
+
+
+@query("gbt_scores", "M6 M7")
+def gbt_scores(spark, sf):
+    rows = _model_rows(spark, sf)
+    total, unit = (md.train_and_score(rows, md.boosting(t))[1].withColumn("target", F.lit(t)) for t in TARGETS)
+    return total.unionByName(unit)
+
+
+TARGETS = ("total_price", "unit_price")
+
+
+def _cv(spark, sf, model):
+    """R² of a full-size model per target over five folds; each fold is encoded by its own training rows."""
+    folds = ft.folded_features(feature_input(spark, sf), "id_key")
+    scores = [(target, i, float(md.score(rows, model(target)))) for target in TARGETS for i, rows in enumerate(folds)]
+    frame = spark.createDataFrame(scores, "target string, fold int, r2 double")
+    return frame.groupBy("target").agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"))
+
+
 @query("cv_scores", "M8 M3")
 def cv_scores(spark, sf):
-    """Smaller forests than the model's own, see README; each fold is encoded by its own training rows."""
-    folds = ft.folded_features(feature_input(spark, sf), "id_key")
-    scores = [md.score(rows, md.forest("total_price", trees=5, depth=5)) for rows in folds]
-    frame = spark.createDataFrame([(i, float(r2)) for i, r2 in enumerate(scores)], "fold int, r2 double")
-    return frame.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"))
+    return _cv(spark, sf, md.forest)
+
+
+@query("cv_boosting_scores", "M8 M3")
+def cv_boosting_scores(spark, sf):
+    return _cv(spark, sf, md.boosting)
 
 
 def _scaled(spark, sf):

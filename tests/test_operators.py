@@ -408,3 +408,15 @@ def test_listing_log_reads_its_buckets_and_drops_old_bases(spark, tmp_path):
     assert len(list((tmp_path / "log" / "base").glob("batch=*"))) == 2
     plan = log.current(spark.createDataFrame([("k1",)], "key string"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan
+
+
+def test_cross_validation_scores_the_full_models(spark, monkeypatch):
+    from dwellframe.plans import modelling
+
+    seen = []
+    monkeypatch.setattr(modelling.md, "score", lambda rows, model: seen.append(model) or 0.5)
+    for build, name, size, depth in ((modelling.cv_scores, "numTrees", 200, 15), (modelling.cv_boosting_scores, "maxIter", 200, 6)):
+        seen.clear()
+        rows = build(spark, "/root/testdata/sf0.001").collect()
+        assert {r["target"] for r in rows} == {"total_price", "unit_price"} and len(seen) == 10
+        assert {(m.getOrDefault(name), m.getMaxDepth()) for m in seen} == {(size, depth)}
