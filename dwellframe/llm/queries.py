@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators
+from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators, sketches
 from dwellframe.llm.common import table
 
 URL_RULES = (
@@ -83,6 +83,11 @@ def op10_range_coder(spark, sf_dir):
     return idfiles.read_ids(spark, idfiles.write_ids(docs, tokenizer_file(), end_id=2))
 
 
+def op13_bottom_k(spark, sf_dir):
+    """Every document's fingerprint, that of its edited text, and both likenesses."""
+    return sketches.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _W = r"[^\x20\x09-\x0D]+"
 
 OP2_SQL = rf"""
@@ -206,6 +211,41 @@ judged AS (
 
 OP5_SQL = quality_sql("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged")
 
+def _op13_sql(k: int = sketches.SIZE) -> str:
+    top = 2 ** 64
+    terms = " + ".join(f"CASE WHEN i + {j} <= len(w) THEN (w[i + {j}]::HUGEINT * {f}) % {top} ELSE 0 END"
+                       for j, f in enumerate(sketches.FACTORS))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS r, count(*) OVER () AS c FROM documents),
+e AS (
+  SELECT a.r, b.r AS next_r, a.doc_id, a.t, length(a.t) AS n_chars,
+         left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS edited
+  FROM d a JOIN d b ON b.r = a.r % a.c + 1),
+x AS (SELECT r, 0 AS side, t FROM e UNION ALL SELECT r, 1, edited FROM e),
+l AS (SELECT r, side, list_transform(regexp_extract_all(t, '{_W}'), z -> md5_number_lower(z)) AS w FROM x),
+g AS (SELECT r, side, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM l WHERE len(w) > 0),
+h AS (SELECT r, side, ((least(5, len(w)) * {sketches.LENGTH_FACTOR}::HUGEINT + {terms}) % {top})::UBIGINT AS s FROM g),
+m AS (SELECT r, side, ((xor(s, s >> 32)::HUGEINT * {sketches.MIX}) % {top})::UBIGINT AS s FROM h),
+q AS (SELECT DISTINCT r, side, xor(s, s >> 29) AS s FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY r, side ORDER BY s) AS pos FROM q),
+f AS (
+  SELECT x.r, x.side, coalesce(list(s ORDER BY s) FILTER (s IS NOT NULL), []) AS s
+  FROM x LEFT JOIN (SELECT * FROM k WHERE pos <= {k}) k ON k.r = x.r AND k.side = x.side GROUP BY x.r, x.side),
+p AS (
+  SELECT e.*, a.s AS a, b.s AS b, list_sort(list_distinct(a.s || b.s))[1:{k}] AS ab, n.s AS n,
+         list_sort(list_distinct(a.s || n.s))[1:{k}] AS an
+  FROM e JOIN f a ON a.r = e.r AND a.side = 0 JOIN f b ON b.r = e.r AND b.side = 1 JOIN f n ON n.r = next_r AND n.side = 0)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(list_transform(a, z -> lpad(lower(to_hex(z)), 16, '0')), '') AS fingerprint,
+       array_to_string(list_transform(b, z -> lpad(lower(to_hex(z)), 16, '0')), '') AS edited_fingerprint,
+       CASE WHEN len(ab) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(ab, a), b)) / len(ab) END::DOUBLE AS near_edited,
+       CASE WHEN len(an) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(an, a), n)) / len(an) END::DOUBLE AS near_next
+FROM p
+"""
+
+
 QUERIES = {
     "op6_separator_scan": (op6_separator_scan, None),
     "op10_range_coder": (op10_range_coder, None),
@@ -217,4 +257,5 @@ QUERIES = {
     "op2_source_mix": (op2_source_mix, OP2_SQL),
     "op4_link_graph_filter": (op4_link_graph_filter, _op4_sql()),
     "op5_host_quality": (op5_host_quality, OP5_SQL),
+    "op13_bottom_k": (op13_bottom_k, _op13_sql()),
 }
