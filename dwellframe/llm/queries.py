@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators, sketches
+from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators, sketches, variants
 from dwellframe.llm.common import table
 
 URL_RULES = (
@@ -83,6 +83,12 @@ def op10_range_coder(spark, sf_dir):
     return idfiles.read_ids(spark, idfiles.write_ids(docs, tokenizer_file(), end_id=2))
 
 
+def op11_letter_grams(spark, sf_dir):
+    """Every word's commonest spelling and its root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.group_variants(variants.count_words(docs, shortest=7, least=2, noise=31), ratio=10)
+
+
 def op13_bottom_k(spark, sf_dir):
     """Every document's fingerprint, that of its edited text, and both likenesses."""
     return sketches.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -211,6 +217,37 @@ judged AS (
 
 OP5_SQL = quality_sql("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged")
 
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, '{variants.UPPER}', '{variants.LOWER}') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{variants.LETTERS}]{{7,}}')) AS run FROM documents)),
+hexed AS (
+  SELECT run, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+crcs AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(x), 2),
+    lambda i: [('0x' || substr(x, i, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda h, b: xor(xor(h, b) // 2, (xor(h, b) % 2) * 3988292384)), 4294967295) AS h FROM hexed),
+cut AS (
+  SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM crcs),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+rests AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM rests a JOIN rests b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT r.word, w.word, w.n FROM rests r JOIN words w ON w.word = r.rest
+  UNION SELECT w.word, r.word, r.n FROM rests r JOIN words w ON w.word = r.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form,
+         CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+roots AS (
+  SELECT word, word AS root FROM forms WHERE form IS NULL
+  UNION ALL SELECT forms.word, root FROM forms JOIN roots ON forms.form = roots.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 def _op13_sql(k: int = sketches.SIZE) -> str:
     top = 2 ** 64
     terms = " + ".join(f"CASE WHEN i + {j} <= len(w) THEN (w[i + {j}]::HUGEINT * {f}) % {top} ELSE 0 END"
@@ -224,7 +261,7 @@ e AS (
          left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS edited
   FROM d a JOIN d b ON b.r = a.r % a.c + 1),
 x AS (SELECT r, 0 AS side, t FROM e UNION ALL SELECT r, 1, edited FROM e),
-l AS (SELECT r, side, list_transform(regexp_extract_all(t, '{_W}'), z -> md5_number_lower(z)) AS w FROM x),
+l AS (SELECT r, side, list_transform(regexp_extract_all(t, '{_W}'), lambda z: md5_number_lower(z)) AS w FROM x),
 g AS (SELECT r, side, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM l WHERE len(w) > 0),
 h AS (SELECT r, side, ((least(5, len(w)) * {sketches.LENGTH_FACTOR}::HUGEINT + {terms}) % {top})::UBIGINT AS s FROM g),
 m AS (SELECT r, side, ((xor(s, s >> 32)::HUGEINT * {sketches.MIX}) % {top})::UBIGINT AS s FROM h),
@@ -238,8 +275,8 @@ p AS (
          list_sort(list_distinct(a.s || n.s))[1:{k}] AS an
   FROM e JOIN f a ON a.r = e.r AND a.side = 0 JOIN f b ON b.r = e.r AND b.side = 1 JOIN f n ON n.r = next_r AND n.side = 0)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-       array_to_string(list_transform(a, z -> lpad(lower(to_hex(z)), 16, '0')), '') AS fingerprint,
-       array_to_string(list_transform(b, z -> lpad(lower(to_hex(z)), 16, '0')), '') AS edited_fingerprint,
+       array_to_string(list_transform(a, lambda z: lpad(lower(to_hex(z)), 16, '0')), '') AS fingerprint,
+       array_to_string(list_transform(b, lambda z: lpad(lower(to_hex(z)), 16, '0')), '') AS edited_fingerprint,
        CASE WHEN len(ab) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(ab, a), b)) / len(ab) END::DOUBLE AS near_edited,
        CASE WHEN len(an) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(an, a), n)) / len(an) END::DOUBLE AS near_next
 FROM p
@@ -257,5 +294,6 @@ QUERIES = {
     "op2_source_mix": (op2_source_mix, OP2_SQL),
     "op4_link_graph_filter": (op4_link_graph_filter, _op4_sql()),
     "op5_host_quality": (op5_host_quality, OP5_SQL),
+    "op11_letter_grams": (op11_letter_grams, OP11_SQL),
     "op13_bottom_k": (op13_bottom_k, _op13_sql()),
 }
