@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellframe.llm import idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators, sketches, variants
+from dwellframe.llm import alignment, idfiles, lines, links, mixing, neardup, packing, privacy, quality, search, separators, sketches, variants
 from dwellframe.llm.common import table
 
 URL_RULES = (
@@ -89,6 +89,13 @@ def op11_letter_grams(spark, sf_dir):
     return variants.group_variants(variants.count_words(docs, shortest=7, least=2, noise=31), ratio=10)
 
 
+def op12_identity_map(spark, sf_dir):
+    """Links between the ids of two tokenizers, per document and with corpus-wide counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned, _ = alignment.align(docs, tokenizer_file(), tokenizer_file("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_bottom_k(spark, sf_dir):
     """Every document's fingerprint, that of its edited text, and both likenesses."""
     return sketches.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -295,5 +302,6 @@ QUERIES = {
     "op4_link_graph_filter": (op4_link_graph_filter, _op4_sql()),
     "op5_host_quality": (op5_host_quality, OP5_SQL),
     "op11_letter_grams": (op11_letter_grams, OP11_SQL),
+    "op12_identity_map": (op12_identity_map, None),
     "op13_bottom_k": (op13_bottom_k, _op13_sql()),
 }
