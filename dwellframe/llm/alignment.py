@@ -14,7 +14,7 @@ corpus-wide counts.
 Defined results: a null or empty text, or one whose tokens' bytes are not the
 text's (U+2581 in it), has no tokens: zeros and ''; repeated rows count each;
 an empty table gives an empty table; columns other than those named play no
-part; blocks end with 8 MB of text, so a very long text is one of its own.
+part; blocks end with 4 MB of text, so a very long text is one of its own.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ from dwellframe.llm import tokens
 from dwellframe.llm.common import Scratch
 
 CUT = re.compile(r" (?<=\S )")  # a blank after no white space
-KEPT, KEPT_LETTERS = 150_000, 64  # segments of a generation, of which a worker keeps two, and their length
+KEPT, KEPT_LETTERS = 100_000, 64  # segments of a generation, of which a worker keeps two, and their length
 STEP = 20_000  # segments encoded at once
+BLOCK_BYTES = 4 << 20  # text of a block
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -203,7 +204,7 @@ def _aligned_blocks(rows: DataFrame, path_a: str, path_b: str, digest: bool) ->
 
         for batch in batches:
             kinds |= {n: batch.schema.field(n).type for n in batch.schema.names[:-1]}
-            for part in tokens.text_slices(batch, "t"):
+            for part in tokens.text_slices(batch, "t", BLOCK_BYTES):
                 x = own.block(part.column("t").to_pylist(), digest)
                 regular += np.bincount(x["regular"], minlength=len(regular))
                 pairs, index, count = np.unique(x["irregular"], return_inverse=True, return_counts=True)

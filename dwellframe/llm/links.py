@@ -3,8 +3,9 @@
 Explicit rules decide the urls they fit. For all other urls the host decides:
 personalised PageRank spreads trust from hosts with allowed pages along links,
 and distrust from hosts with blocked pages against them (who links to a bad
-host is suspect); a host is blocked when its distrust passes a threshold and
-its trust.
+host is suspect). What a link brings to a host is cut by the share of its pages
+that rules block, so trust does not pass through blocked hosts. A host is
+blocked when its distrust passes a threshold and its trust.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and is allowed; null pages have no links; repeated rows are judged alike and
@@ -65,9 +66,11 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12,
-              rounds_per_table: int = 4) -> DataFrame:
+              rounds_per_table: int = 4, closed: DataFrame | None = None) -> DataFrame:
     """(host, score): personalised PageRank from (host, seed) along (src, dst, weight).
 
+    ``closed`` (host, share) takes that share off whatever links bring to a host.
+
     Scores are scaled by the seeds' sum, so a seed without any links scores its
     own seed value and the scale does not shrink as hosts are added. A host
     without links out keeps what reaches it. Each round is one join on the
@@ -83,8 +86,12 @@ def page_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         F.sum("seed").alias("seed"), F.max("out").alias("out"))
     nodes = scratch.keep(nodes, "hosts")
     out_sum = edges.groupBy(F.col("src").alias("o_src")).agg(F.sum("weight").alias("out_weight"))
-    steps = edges.join(out_sum, F.col("src") == F.col("o_src")).select(
-        "src", "dst", (F.col("weight") / F.col("out_weight")).alias("part")).unionByName(
+    parts = edges.join(out_sum, F.col("src") == F.col("o_src")).select(
+        "src", "dst", (F.col("weight") / F.col("out_weight")).alias("part"))
+    if closed is not None:
+        parts = parts.join(closed.select(F.col("host").alias("dst"), "share"), "dst", "left").select(
+            "src", "dst", (F.col("part") * (1 - F.coalesce("share", F.lit(0.0)))).alias("part"))
+    steps = parts.unionByName(
         nodes.where("out = 0").select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("part")))
     steps = scratch.keep(steps, "steps")
     now, old = nodes.select("host", F.col("seed").alias("score")), []
@@ -120,7 +127,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html:
              for v, n in (("allow", "allowed"), ("block", "blocked"))]
     hosts = scratch.keep(seen.where("host <> ''").groupBy("host").agg(*share), "host-seeds")
     edges = scratch.keep(host_edges(pages, url, html), "host-edges")
-    trust = page_rank(hosts.select("host", F.col("allowed").alias("seed")), edges, damping, rounds)
+    trust = page_rank(hosts.select("host", F.col("allowed").alias("seed")), edges, damping, rounds,
+                      closed=hosts.where("blocked > 0").select("host", F.col("blocked").alias("share")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = page_rank(hosts.select("host", F.col("blocked").alias("seed")), back, damping, rounds)
     scores = scratch.keep(trust.select("host", F.col("score").alias("trust")).join(

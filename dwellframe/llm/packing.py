@@ -7,8 +7,9 @@ evolve apart. A packing's genes are its sequences: crossover injects well-filled
 sequences of one parent whole into the other, removes the sequences that now
 hold a piece twice, and places the displaced pieces by best fit, longest first.
 Between epochs the best packing of each island moves to the next island. Pieces
-of sequences that stay under-filled are dealt into new groups and packed again,
-until one group is left.
+of the emptiest sequences, the under-filled ones among the emptier half, are dealt into
+new groups and packed again, until one group is left; so a round repacks at most half
+of the sequences, however badly the pieces fit.
 
 A group that reaches the bound ceil(tokens / length) is done; the rest evolve on.
 
@@ -203,7 +204,7 @@ def places(bins: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] = ("doc_id",), end_id: int = 0,
-         capacity: int = 2048, group_size: int = 1000, islands: int = 3, population: int = 4, generations: int = 12,
+         capacity: int = 2048, group_size: int = 10_000, islands: int = 3, population: int = 4, generations: int = 12,
          epochs: int = 2, under_filled: float = 0.97) -> DataFrame:
     """A row per piece: the carried columns, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -215,7 +216,16 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[st
     cut = scratch.keep(cut, "pieces")
     full = cut.where(F.col("length") == capacity).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = cut.where(F.col("length") < capacity).select("row", F.col("length").cast("int").alias("size"))
-    done = [full]
+    placed = full.unionByName(place(items, scratch, capacity, group_size, islands, population, generations, epochs, under_filled))
+    out = cut.join(scratch.keep(placed, "places"), "row")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "piece", "start", "length", "ids_crc32",
+                      "sequence_id", "offset")
+
+
+def place(items: DataFrame, scratch: Scratch, capacity: int, group_size: int = 10_000, islands: int = 3, population: int = 4,
+          generations: int = 12, epochs: int = 2, under_filled: float = 0.97) -> DataFrame:
+    """(row, sequence_id, offset) of items (row, size), each shorter than a sequence."""
+    done = [items.sparkSession.createDataFrame([], "row long, sequence_id long, offset long")]
     count = items.count()
     while count:
         groups = -(-count // group_size)
@@ -225,22 +235,17 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[st
         bins = rows.groupBy("grp", "packing").agg(F.array_sort(F.collect_list(F.struct("rows", "sizes"))).alias("x"),
                                                   F.sum("sizes").alias("filled"))
         bins = scratch.keep(bins, "bins")
-        last = groups == 1
-        settled = F.lit(True) if last else F.col("filled") >= under_filled * capacity
-        done.append(places(bins.where(settled)))
-        if last:
+        if groups == 1:
+            done.append(places(bins))
             break
+        half = bins.agg(F.percentile_approx("filled", 0.5, 10_000)).first()[0]
+        settled = (F.col("filled") >= under_filled * capacity) | (F.col("filled") >= half)
+        done.append(places(bins.where(settled)))
         left = bins.where(~settled).select(F.explode("x").alias("y")).select(
             F.col("y.rows").alias("row"), F.col("y.sizes").alias("size"))
         items = scratch.keep(left, "left")
-        before, count = count, items.count()
-        if count > before // 2:
-            # Little was settled: these pieces do not fit closely, so their packing stands.
-            done.append(places(bins.where(~settled)))
-            break
+        count = items.count()
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
-    out = cut.join(scratch.keep(placed, "places"), "row")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "piece", "start", "length", "ids_crc32",
-                      "sequence_id", "offset")
+    return placed

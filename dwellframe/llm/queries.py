@@ -159,14 +159,14 @@ e0 AS (
   SELECT host AS src, translate(dst, '{links.UPPER}', '{links.LOWER}') AS dst
   FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1)) AS dst FROM j)),
 e AS MATERIALIZED (SELECT src, dst, count(*) AS weight FROM e0 WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)"""
-    for side, seed, src, dst in (("t", "a", "src", "dst"), ("d", "b", "dst", "src")):
+    for side, seed, src, dst, part in (("t", "a", "src", "dst", "* (1 - coalesce(b, 0))"), ("d", "b", "dst", "src", "")):
         sql += f""",
 {side}n AS MATERIALIZED (
   SELECT host, sum(seed) AS seed, max(o) AS o FROM (
     SELECT host, {seed} AS seed, 0 AS o FROM seeds UNION ALL SELECT {src}, 0.0, 1 FROM e UNION ALL SELECT {dst}, 0.0, 0 FROM e)
   GROUP BY host),
 {side}s AS MATERIALIZED (
-  SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS part FROM e
+  SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) {part} AS part FROM e LEFT JOIN seeds ON host = dst
   UNION ALL SELECT host, host, 1.0 FROM {side}n WHERE o = 0),
 {side}0 AS MATERIALIZED (SELECT host, seed AS score FROM {side}n)"""
         for i in range(rounds):

@@ -47,7 +47,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text",
         with files.Replacing(folder, name) as stream:
             for batch in (b for bs in ([first], batches) for b in bs):
                 for piece in tokens.text_slices(batch, "t"):
-                    encoder = tokens.encoder(tokenizer)
+                    encoder = tokens.encoder(tokenizer, plain_text=True)  # only the end id ends a document
                     ids, ends = encoder.encode(piece.column("t"))
                     flat = np.insert(ids, ends, ids.dtype.type(end_id)).astype(np.dtype(encoder.dtype).newbyteorder("<"))
                     stream.write(flat.tobytes())

@@ -3,7 +3,9 @@
 Byte-level BPE never merges across the start of a word, so a text is cut before
 the blanks that start words, each distinct piece is encoded once per worker,
 and the ids of a text are gathered from its pieces. Texts in which a blank
-stands between other white space, or after some at the end, are encoded whole.
+stands between other white space, or after some at the end, are encoded whole,
+and so are those that hold the string of a special token, which is that token's
+id unless it is asked to be ordinary text.
 """
 
 from __future__ import annotations
@@ -21,15 +23,22 @@ BATCH_BYTES = 8 << 20  # text encoded at once
 # A blank after white space, by any definition of it, and before more or the end.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _ODD = rf"{_WHITE} (?:{_WHITE}|\z)"
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def _literal(text: str) -> str:
+    """A pattern for just that text."""
+    return "".join(c if c.isalnum() or ord(c) > 127 else rf"\x{{{ord(c):x}}}" for c in text)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_text  # the strings of special tokens are ordinary text
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_text and t.special))
+        self.odd = "|".join([_ODD, *map(_literal, added)])
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -64,7 +73,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, their ends); null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         whole = dict(zip(odd.tolist(), self._encode(texts.take(pa.array(odd)).to_pylist()))) if len(odd) else {}
         if whole:
             mask = np.zeros(len(texts), dtype=bool)
@@ -106,20 +115,21 @@ def _insert(ids, ends, whole, dtype):
     return np.concatenate(out), np.cumsum(sizes)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_text: bool = False) -> Encoder:
     """The worker's encoder of that file; it keeps its pieces between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain_text) not in _ENCODERS:
+        _ENCODERS[path, plain_text] = Encoder(path, plain_text)
+    return _ENCODERS[path, plain_text]
 
 
-def text_slices(batch: pa.RecordBatch, text: str):
-    """Parts of a batch with at most ``BATCH_BYTES`` of text, or one row."""
+def text_slices(batch: pa.RecordBatch, text: str, most: int | None = None):
+    """Parts of a batch with at most ``most`` bytes of text (``BATCH_BYTES`` if not said), or one row."""
+    most = most or BATCH_BYTES
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, lo = np.cumsum(sizes), 0
     while lo < len(sizes):
         base = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, base + BATCH_BYTES, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(lo, hi - lo)
         # What the last part needed goes back to the system: workers share a small executor with the JVM.
         pa.default_memory_pool().release_unused()

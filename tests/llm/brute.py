@@ -11,14 +11,14 @@ from tokenizers import Tokenizer
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def tokenizer():
+def tokenizer(plain_text=False):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain_text
     return t
 
 
-def token_ids(texts):
-    t = tokenizer()
+def token_ids(texts, plain_text=False):
+    t = tokenizer(plain_text)
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 

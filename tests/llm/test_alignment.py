@@ -85,7 +85,7 @@ def test_no_piece_crosses_a_blank():
 
 @pytest.mark.parametrize("slice_bytes", [8 << 20, 3000])
 def test_counts_over_the_corpus(spark, documents, hard_documents, clashing, no_documents, monkeypatch, slice_bytes):
-    monkeypatch.setattr(alignment.tokens, "BATCH_BYTES", slice_bytes)
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", slice_bytes)
     monkeypatch.setattr(alignment, "KEPT", 50)
     for docs in (documents.limit(60).select("doc_id", "text").union(hard_documents.select("doc_id", "text")), clashing):
         docs = docs.repartition(3)

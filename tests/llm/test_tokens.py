@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dwellframe.llm import idfiles, packing, rangecoder, separators, tokens
+from dwellframe.llm import common, idfiles, packing, rangecoder, separators, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = ["a", "bc", " ", "  ", "\n", "\t", "'s", "17", "é", " ", "　", ".", ",", "<|endoftext|>", "漢", "\x85", "\x1c", "😀", "\x00"]
@@ -20,9 +20,17 @@ ALPHABET = ["a", "bc", " ", "  ", "\n", "\t", "'s", "17", "é", " ", "　", "."
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(ALPHABET), max_size=20).map("".join), st.text(max_size=20)), max_size=8))
 def test_encoder_equals_the_tokenizer(texts):
-    ids, ends = tokens.encoder(PATH).encode(pa.array(texts, pa.string()))
-    got = [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
-    assert got == brute.token_ids(texts)
+    for plain in (False, True):
+        ids, ends = tokens.encoder(PATH, plain).encode(pa.array(texts, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+        assert got == brute.token_ids(texts, plain)
+
+
+def test_special_tokens_are_ids_unless_asked_to_be_text():
+    text = pa.array(["end <|endoftext|>", "x<|endoftext|> y", "<|endoftext|", None])
+    ids, ends = tokens.encoder(PATH).encode(text)
+    assert [50256 in ids[a:b] for a, b in zip([0, *ends], ends)] == [True, True, False, False]
+    assert 50256 not in tokens.encoder(PATH, plain_text=True).encode(text)[0]
 
 
 def test_encoder_forgets_old_pieces(monkeypatch):
@@ -124,7 +132,7 @@ def test_counts_of_documents(spark, documents, clashing, no_documents):
         key = lambda x: (x[0] is not None, x[0] or 0, x[1])
         rows = docs.select("doc_id", "text").collect()
         assert sorted(((r["doc_id"], r["n_tokens"]) for r in got.collect()), key=key) == sorted(
-            ((d, len(x)) for (d, _), x in zip(rows, brute.token_ids([t for _, t in rows]))), key=key)
+            ((d, len(x)) for (d, _), x in zip(rows, brute.token_ids([t for _, t in rows], plain_text=True))), key=key)
     order = separators.write_flat(no_documents, PATH, end_id=50256)
     assert separators.count_tokens(order.select("file"), 50256).count() == 0
 
@@ -164,6 +172,21 @@ def test_packing_is_exact_and_tight(documents, clashing, no_documents):
     assert packing.pack(no_documents, PATH).count() == 0
 
 
+def test_badly_fitting_pieces_over_many_groups(spark):
+    """Two groups of pieces of which two seldom fill a sequence, against best fit over one pool."""
+    sizes = np.random.default_rng(9).integers(900, 1400, 20_000).tolist()
+    items = spark.createDataFrame(list(enumerate(sizes)), "row long, size int")
+    got = packing.place(items, common.Scratch(spark), 2048).collect()
+    filled = {}
+    for r in got:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["row"]]))
+    assert len(got) == len(sizes) == len({r["row"] for r in got})
+    assert all(sum(s for _, s in x) <= 2048 and sum(s for _, s in x) == max(o + s for o, s in x) for x in filled.values())
+    pool, room = [], []
+    packing.best_fit(pool, room, range(len(sizes)), sizes, 2048)
+    assert len(filled) <= len(pool) * 1.002
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(4)
     for _ in range(50):
