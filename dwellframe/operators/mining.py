@@ -1,19 +1,19 @@
 """Frequent itemsets and association rules.
 
-Identical transactions are counted once with a weight. Items that are not
-frequent alone are dropped; the subsets of what is left of a transaction are
-counted as packed numbers in one aggregate.
+Identical transactions are counted once with a weight. Itemsets grow level by
+level over bitmaps of the items that are frequent alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.functions.items import item_dimensions, itemset_text
-from dwellframe.session import stage
-
-CODE_BITS = 15
+from dwellframe.session import ship_package, stage
 
 
 def transactions(df: DataFrame, items, min_items: int = 3) -> DataFrame:
@@ -29,58 +29,98 @@ def item_support(tx: DataFrame) -> DataFrame:
             .agg(F.sum("weight").alias("count")).withColumn("support", F.col("count") / F.lit(n)))
 
 
-def _encode(tx: DataFrame, names: list[str]) -> DataFrame:
-    """Replace items by their position in ``names`` (sorted), drop the others, merge equal rows."""
-    codes = F.create_map(*[F.lit(v) for pair in zip(names, range(1, len(names) + 1)) for v in pair])
-    coded = F.array_compact(F.transform("items", lambda x: F.try_element_at(codes, x)))
-    return tx.select(coded.alias("items"), "weight").groupBy("items").agg(F.sum("weight").alias("weight"))
-
-
 def frequent_itemsets(tx: DataFrame, min_support: float, max_len: int = 4) -> DataFrame:
-    """All itemsets up to ``max_len`` (at most 4) with at least ``min_support``.
+    """All itemsets up to ``max_len`` with at least ``min_support``: items (sorted), count, support.
 
-    Transactions of at most m items have at most m / min_support frequent
-    items, whatever the number of rows, so their names fit the driver and a
-    15-bit code; four codes fit a long. A transaction of ten items has 385
-    subsets of up to four, which are made inside the row and counted by one
-    aggregate with map-side sums.
+    Transactions of at most m items have at most C(m, k) / min_support frequent
+    sets of k items, whatever the number of rows, so sets and candidates fit the
+    driver. Transactions are turned once into blocks of one bitmap per frequent item;
+    a level intersects the bitmaps of its candidates, whose subsets are all
+    frequent, in one pass over the blocks, and only one number per candidate leaves a task.
     """
-    if not 1 <= max_len <= 4:
-        raise ValueError("itemsets have 1 to 4 items")
+    if max_len < 1:
+        raise ValueError("itemsets have at least one item")
+    spark = tx.sparkSession
+    ship_package(spark)
     tx = stage(tx, "transactions")
     total = tx.agg(F.sum("weight")).first()[0] or 0
-    often = F.col("count") / F.lit(max(total, 1)) >= min_support
     single = tx.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("count"))
-    names = [r["item"] for r in single.where(often).select("item").orderBy("item").collect()]
-    if len(names) >= 1 << CODE_BITS:
-        raise ValueError("too many frequent items; raise min_support")
-    if not names:
-        return tx.select("items", F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("support")).where("false")
-    coded = _encode(tx, names)
-    counts = coded.select(F.explode(_subsets(F.col("items"), max_len)).alias("packed"), "weight").groupBy("packed").agg(
-        F.sum("weight").alias("count"))
-    return counts.where(often).select(_unpack(F.col("packed"), names, max_len).alias("items"), "count",
-                                      (F.col("count") / F.lit(total)).alias("support"))
-
-
-def _subsets(items: Column, max_len: int) -> Column:
-    """Packed codes of all subsets of up to ``max_len`` items; a set of k items fills k times 15 bits."""
-    places = F.sequence(F.lit(0), F.size(items) - 1)
-    level = F.transform(items, lambda x, i: F.struct(x.cast("bigint").alias("code"), i.alias("at")))
-    out = level
+    often = {r["item"]: r["count"] for r in single.where(F.col("count") / F.lit(max(total, 1)) >= min_support).collect()}
+    names = sorted(often)
+    found = [((i,), often[name]) for i, name in enumerate(names)]
+    level = [s for s, _ in found]
+    blocks = stage(tx.mapInArrow(lambda batches: _bitmaps(batches, names), BLOCK), "bitmaps") if names and max_len > 1 else None
     for _ in range(max_len - 1):
-        level = F.flatten(F.transform(level, lambda c: F.transform(
-            F.filter(places, lambda j: j > c["at"]),
-            lambda j: F.struct((F.shiftleft(c["code"], CODE_BITS) + F.get(items, j)).alias("code"), j.alias("at")))))
-        out = F.concat(out, level)
-    return F.when(F.size(items) > 0, F.transform(out, lambda c: c["code"])).otherwise(F.array().cast("array<bigint>"))
-
-
-def _unpack(packed: Column, names: list[str], max_len: int) -> Column:
-    """Names of a packed set; codes start at 1, so an empty place is 0."""
-    texts = F.array(*map(F.lit, names))
-    codes = [F.shiftright(packed, CODE_BITS * k).bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int") for k in reversed(range(max_len))]
-    return F.transform(F.filter(F.array(*codes), lambda x: x > 0), lambda x: F.element_at(texts, x))
+        wanted = candidates(level)
+        if not len(wanted):
+            break
+        counts = _counted(blocks, wanted, len(names))
+        kept = [(tuple(wanted[r["pos"]].tolist()), r["count"]) for r in counts.where(
+            F.col("count") / F.lit(total) >= min_support).collect()]
+        found += kept
+        level = [s for s, _ in kept]
+    rows = [([names[i] for i in s], n, n / total) for s, n in found]
+    return spark.createDataFrame(rows, "items array<string>, count long, support double")
+
+
+def candidates(level: list[tuple[int, ...]]) -> np.ndarray:
+    """Sets one item larger than those of a level, all of whose subsets are in the level; a row each, ascending."""
+    known, by_prefix = set(level), {}
+    for s in sorted(level):
+        by_prefix.setdefault(s[:-1], []).append(s[-1])
+    out = [(*prefix, x, y) for prefix, ends in by_prefix.items() for i, x in enumerate(ends) for y in ends[i + 1:]
+           if all((*prefix[:k], *prefix[k + 1:], x, y) in known for k in range(len(prefix)))]
+    return np.array(out, dtype=np.int32).reshape(len(out), len(level[0]) + 1 if level else 0)
+
+
+BLOCK = "bits binary, planes binary"
+AT_ONCE = 1 << 21  # words of bitmaps intersected at once
+
+
+def _bitmaps(batches, names: list[str]):
+    """A block per batch: a bitmap over its rows for every name, and one for every binary digit of the rows' weights."""
+    known = pa.array(names, pa.string())
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        items = batch.column("items")
+        code = pc.index_in(items.flatten(), value_set=known)
+        row = np.repeat(np.arange(len(items)), pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False))
+        seen = code.is_valid().to_numpy(zero_copy_only=False)
+        code = pc.fill_null(code, 0).to_numpy(zero_copy_only=False)
+        size = -(-len(items) // 64) * 64
+        present = np.zeros((len(names), size), bool)
+        present[code[seen], row[seen]] = True
+        weight = np.zeros(size, np.int64)
+        weight[:len(items)] = batch.column("weight").to_numpy(zero_copy_only=False)
+        planes = (weight[None, :] >> np.arange(max(1, int(weight.max()).bit_length()))[:, None] & 1).astype(bool)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([np.packbits(x, axis=1).tobytes()], pa.binary()) for x in (present, planes)], names=["bits", "planes"])
+
+
+def _counted(blocks: DataFrame, wanted: np.ndarray, n_names: int) -> DataFrame:
+    """(pos, count): the weight of the transactions that hold each candidate, where it is not zero."""
+    shared = blocks.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        sets = shared.value
+        total = np.zeros(len(sets), np.int64)
+        for batch in batches:
+            for raw, digits in zip(batch.column("bits").to_pylist(), batch.column("planes").to_pylist()):
+                bits = np.frombuffer(raw, np.uint64).reshape(n_names, -1)
+                planes = np.frombuffer(digits, np.uint64).reshape(-1, bits.shape[1])
+                step = max(1, AT_ONCE // bits.shape[1])
+                for lo in range(0, len(sets), step):
+                    part = sets[lo:lo + step]
+                    both = bits[part[:, 0]]
+                    for k in range(1, part.shape[1]):
+                        both &= bits[part[:, k]]
+                    for p, plane in enumerate(planes):
+                        total[lo:lo + step] += np.bitwise_count(both & plane).sum(axis=1, dtype=np.int64) << p
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["pos", "count"])
+
+    return blocks.mapInArrow(run, "pos long, count long").groupBy("pos").agg(F.sum("count").alias("count"))
 
 
 def rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:

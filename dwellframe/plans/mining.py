@@ -30,7 +30,7 @@ _SETS = _TX + """, ix AS (SELECT unnest(range(1, 11)) AS i),
         WHERE a.i < b.i AND b.i < c.i AND c.i <= len(items) GROUP BY 1
       UNION ALL SELECT [items[a.i], items[b.i], items[c.i], items[d.i]], sum(weight) FROM tx, ix a, ix b, ix c, ix d
         WHERE a.i < b.i AND b.i < c.i AND c.i < d.i AND d.i <= len(items) GROUP BY 1),
-    freq AS (SELECT items, cast(c AS bigint) AS count, c / (SELECT n FROM total) AS support FROM sets
+    freq AS MATERIALIZED (SELECT items, cast(c AS bigint) AS count, c / (SELECT n FROM total) AS support FROM sets
              WHERE c / (SELECT n FROM total) >= {s} AND len(items) <= {k})"""
 _TRIPLES = _SETS[:_SETS.index("      UNION ALL SELECT [items[a.i], items[b.i], items[c.i], items[d.i]]")] + "),\n" + _SETS[_SETS.index("    freq AS"):]
 # Rules use the looser retry limits and sets of up to three items.
