@@ -1,5 +1,6 @@
 """Regression, clustering and profile queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dwellframe.operators import clustering as cl
@@ -216,8 +217,7 @@ def _scaled(spark, sf):
 @query("kmeans", "M11 A26")
 def kmeans(spark, sf):
     scaled = _scaled(spark, sf)
-    model = cl.fit_kmeans(scaled)
-    labelled = model.transform(md.assemble(scaled, CLUSTER_FEATURES))
+    labelled = cl.label(scaled, cl.fit_kmeans(scaled))
     return labelled.groupBy("cluster").agg(F.count("*").alias("count"), *[F.avg(c).alias(c) for c in CLUSTER_FEATURES])
 
 
@@ -226,11 +226,56 @@ def elbow(spark, sf):
     return cl.elbow(_scaled(spark, sf))
 
 
+# Squared distances to the mean are those within clusters plus those between them, whatever the clusters are.
+_SPREAD = """d AS (SELECT unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings),
+    t AS (SELECT sum(v) AS total FROM (SELECT var_pop(embedding[i]::DOUBLE) * count(*) AS v FROM d GROUP BY i)),"""
+
+
+def _embedded(spark, sf):
+    size = 64
+    return table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)])
+
+
+@query("kmeans_spread", "M11", f"""
+    WITH {_SPREAD} n AS (SELECT count(*) AS rows FROM embeddings)
+    SELECT rows, round(total, 3) AS total, round(total, 3) AS within_and_between, 5 AS clusters, 0 AS misplaced FROM t, n""")
+def kmeans_spread(spark, sf):
+    """Five clusters of all embeddings: their spread adds up, and every row lies with the centre that is its cluster's mean."""
+    df = stage(_embedded(spark, sf), "embedded")
+    features = [c for c in df.columns if c != "vec_id"]
+    run = cl.fit_kmeans(df, 5, features=features)
+    own = cl.label(df, run, features)
+    means = own.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in features])
+    whole = df.agg(*[F.avg(c).alias(c) for c in features]).first()
+    joined = own.join(F.broadcast(means), "cluster")  # a row per cluster
+    to_mean = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in features), F.lit(0.0))
+    between = sum(((F.col(f"m_{c}") - whole[c]) ** 2 for c in features), F.lit(0.0))
+    total = sum(((F.col(c) - whole[c]) ** 2 for c in features), F.lit(0.0))
+    to_centre = [sum(((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(features, centre)), F.lit(0.0)) for centre in run.centres]
+    return joined.agg(
+        F.count("*").alias("rows"), F.round(F.sum(total), 3).alias("total"),
+        F.round(F.sum(to_mean) + F.sum(between), 3).alias("within_and_between"),
+        F.countDistinct("cluster").cast("int").alias("clusters"),
+        F.count_if(to_mean > F.least(*to_centre) + 0.05).cast("int").alias("misplaced"))
+
+
+@query("elbow_falls", "M12", f"""
+    WITH {_SPREAD} k AS (SELECT unnest(range(1, 11))::INT AS k)
+    SELECT k, CASE WHEN k = 1 THEN round(total, 3) END AS spread, true AS falls FROM t, k""")
+def elbow_falls(spark, sf):
+    """Costs of 1 to 10 clusters of all embeddings, ten starts each: the first is their spread, each next one is smaller."""
+    df = stage(_embedded(spark, sf), "embedded")
+    rows = cl.elbow(df, features=[c for c in df.columns if c != "vec_id"])
+    before = F.lag("inertia").over(Window.partitionBy(F.lit(1)).orderBy("k"))  # ten rows
+    return rows.select("k", F.when(F.col("k") == 1, F.round("inertia", 3)).alias("spread"),
+                       F.coalesce(F.col("inertia") < before, F.lit(True)).alias("falls"))
+
+
 @query("pca", "M13 M19")
 def pca(spark, sf):
     scaled = _scaled(spark, sf)
     model = cl.pca_plane(scaled)
-    labelled = cl.fit_kmeans(scaled).transform(md.assemble(scaled, CLUSTER_FEATURES))
+    labelled = md.assemble(cl.label(scaled, cl.fit_kmeans(scaled)), CLUSTER_FEATURES)
     share = model.explainedVariance.toArray().tolist()
     return cl.project(model, labelled).select(
         "id_key", "cluster", "pc1", "pc2", F.lit(share[0]).alias("pc1_share"), F.lit(share[1]).alias("pc2_share"))
