@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dwellframe.functions.numbers import (
     clip, digits_to_double, known_number, round_half_even, to_double)
 from dwellframe.functions.text import first_match
+from dwellframe.schema import DISTRICT_BY_CODE, DISTRICT_BY_CODE_B, SOURCE_A, SOURCE_B
 from dwellframe.schema import (
     DECORATION_CODES, DISTRICT_TIERS, FLOOR_CODES, OTHER_TIER)
 
@@ -287,3 +288,13 @@ def price_colour(unit: Column) -> Column:
     for edge, colour in PRICE_COLOURS:
         out = out.when(unit < edge, colour)
     return out.otherwise(TOP_COLOUR)
+
+
+def with_district_name(df: DataFrame, source: str = "source", code: str = "code", name: str = "name") -> DataFrame:
+    """Adds the district's name by the source's own codes; a code without one stands for itself."""
+    directory = df.sparkSession.createDataFrame(
+        [(s, c, n) for s, codes in ((SOURCE_A, DISTRICT_BY_CODE), (SOURCE_B, DISTRICT_BY_CODE_B)) for c, n in codes.items()],
+        "_s string, _c string, _n string")
+    # The directory has 50 rows, each code of a source once.
+    joined = df.join(F.broadcast(directory), (F.col(source) == F.col("_s")) & (F.col(code) == F.col("_c")), "left")
+    return joined.withColumn(name, F.coalesce("_n", code)).drop("_s", "_c", "_n")

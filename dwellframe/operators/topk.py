@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellframe.functions.geo import haversine_m, within_degrees
+from dwellframe.functions.geo import ellipsoid_m, haversine_m, within_degrees
 from dwellframe.functions.text import distance_text
 from dwellframe.operators.filters import has_coordinates
 
@@ -35,12 +35,16 @@ def by_id(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def nearest(df: DataFrame, lat: float, lng: float, k: int, max_km: float | None = None,
-            tie: str = "id") -> DataFrame:
-    """The k listings closest to a point; rows without coordinates are left out."""
+            tie: str = "id", ellipsoid: bool = False) -> DataFrame:
+    """The k listings closest to a point; rows without coordinates are left out.
+
+    Distances are those on a sphere or, asked for, on the WGS84 ellipsoid.
+    """
     rows = df.where(has_coordinates())
     if max_km is not None:
         rows = rows.where(within_degrees(F.col("lat"), F.col("lng"), lat, lng, max_km * 1000))
-    metres = haversine_m(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
+    measure = ellipsoid_m if ellipsoid else haversine_m
+    metres = measure(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
     rows = rows.withColumn("distance_m", metres)
     if max_km is not None:
         rows = rows.where(F.col("distance_m") <= max_km * 1000)

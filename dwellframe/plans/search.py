@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from dwellframe.functions import housing, text
+from dwellframe.functions.geo import WGS84_A, WGS84_B, WGS84_F
 from dwellframe.functions.numbers import percent
 from dwellframe.operators import filters as fl
 from dwellframe.operators import statistics as st
 from dwellframe.operators import topk
 from dwellframe.plans.registry import query
 from dwellframe.plans.views import crawl_log, listings, on_listings, on_log, table
-from dwellframe.schema import CORE_DISTRICT_CODES, DISTRICT_BY_CODE, DISTRICT_TIERS
+from dwellframe.schema import CORE_DISTRICT_CODES, DISTRICT_BY_CODE, DISTRICT_BY_CODE_B, DISTRICT_TIERS, SOURCE_A, SOURCE_B
 
 PRICED = "total_price > 0 AND total_price < 5000"
 
@@ -172,6 +173,39 @@ def nearest_topk(spark, sf):
         "id_key", "district", F.round("distance_m", 3).alias("distance_m"), "distance_text")
 
 
+def _ellipsoid_sql(steps: int = 8) -> str:
+    """Vincenty's steps one after the other; eight settle every pair of points in one province."""
+    sql = f"""WITH i0 AS (
+      SELECT id_key, district, radians(lng - 106.5) AS l, radians(lng - 106.5) AS lam, sin(atan({1 - WGS84_F!r} * tan(radians(29.5)))) AS s1,
+             cos(atan({1 - WGS84_F!r} * tan(radians(29.5)))) AS c1, sin(atan({1 - WGS84_F!r} * tan(radians(lat)))) AS s2,
+             cos(atan({1 - WGS84_F!r} * tan(radians(lat)))) AS c2 FROM listings WHERE lng > 0 AND lat > 0)"""
+    for i in range(steps + 1):
+        sql += f""",
+    a{i} AS (SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM i{i}),
+    b{i} AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM a{i}),
+    c{i} AS (SELECT *, 1 - sa * sa AS a, CASE WHEN 1 - sa * sa > 0 THEN cs - 2 * s1 * s2 / (1 - sa * sa) ELSE 0 END AS m,
+                    {WGS84_F!r} / 16 * (1 - sa * sa) * (4 + {WGS84_F!r} * (4 - 3 * (1 - sa * sa))) AS c FROM b{i}),
+    i{i + 1} AS (SELECT id_key, district, l, s1, c1, s2, c2,
+                        l + (1 - c) * {WGS84_F!r} * sa * (sigma + c * ss * (m + c * cs * (2 * m * m - 1))) AS lam FROM c{i})"""
+    u = f"(a * {(WGS84_A ** 2 - WGS84_B ** 2) / WGS84_B ** 2!r})"
+    return sql + f""",
+    e AS (SELECT *, 1 + {u} / 16384 * (4096 + {u} * ({u} * (320 - 175 * {u}) - 768)) AS ea,
+                 {u} / 1024 * (256 + {u} * ({u} * (74 - 47 * {u}) - 128)) AS eb FROM c{steps}),
+    d AS (SELECT id_key, district, {WGS84_B!r} * ea * (sigma - eb * ss * (m + eb / 4 * (cs * (2 * m * m - 1)
+                 - eb / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) AS metres FROM e)
+    SELECT id_key, district, round(metres, 3) AS distance_m,
+           CASE WHEN metres < 1000 THEN concat(cast(cast(floor(metres) AS int) AS varchar), 'm')
+                ELSE concat(format('{{:.1f}}', metres / 1000), 'km') END AS distance_text
+    FROM d WHERE metres <= 5000 ORDER BY metres, id_key LIMIT 50"""
+
+
+@query("nearest_ellipsoid", "O5 P14 F31 F32", on_listings(_ellipsoid_sql()))
+def nearest_ellipsoid(spark, sf):
+    df = listings(spark, sf, "id_key", "district", "lat", "lng")
+    return topk.nearest(df, 29.5, 106.5, 50, max_km=5, tie="id_key", ellipsoid=True).select(
+        "id_key", "district", F.round("distance_m", 3).alias("distance_m"), "distance_text")
+
+
 @query("recommended_topk", "O6", on_listings(f"""
     SELECT id_key, district, round(unit_price, 4) AS unit_price FROM listings WHERE {PRICED}
     ORDER BY listings.unit_price DESC, id_key LIMIT 20"""))
@@ -271,6 +305,28 @@ _TIER_SQL = " ".join(
 _CODES_SQL = ", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(DISTRICT_BY_CODE.items()))
 
 
+_CODES_B_SQL = ", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(DISTRICT_BY_CODE_B.items()))
+
+
+@query("district_codes", "J11", f"""
+    WITH a(idx, code, name) AS (VALUES {_CODES_SQL}), b(idx, code, name) AS (VALUES {_CODES_B_SQL}),
+      d AS (SELECT 'anjuke' AS source, code, name FROM a UNION ALL SELECT 'lianjia', code, name FROM b),
+      f AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'anjuke' ELSE 'lianjia' END AS source,
+                   CASE WHEN c_custkey % 2 = 0 THEN (SELECT code FROM a WHERE idx = c_custkey % 38)
+                        ELSE coalesce((SELECT code FROM b WHERE idx = c_custkey % 13), 'unknown') END AS code FROM customer)
+    SELECT f.source, f.code, coalesce(name, f.code) AS name, count(*) AS rows
+    FROM f LEFT JOIN d ON d.source = f.source AND d.code = f.code GROUP BY ALL""")
+def district_codes(spark, sf):
+    """District names of feed rows by source and code; a code without a name stands for itself."""
+    first, second = list(DISTRICT_BY_CODE), list(DISTRICT_BY_CODE_B)
+    at = F.col("c_custkey") % 2 == 0
+    feed = table(spark, sf, "customer").select(
+        F.when(at, SOURCE_A).otherwise(SOURCE_B).alias("source"),
+        F.when(at, F.get(F.array(*map(F.lit, first)), (F.col("c_custkey") % 38).cast("int"))).otherwise(
+            F.coalesce(F.get(F.array(*map(F.lit, second)), (F.col("c_custkey") % 13).cast("int")), F.lit("unknown"))).alias("code"))
+    return housing.with_district_name(feed).groupBy("source", "code", "name").agg(F.count("*").alias("rows"))
+
+
 @query("district_directory", "J11 F39 P12", f"""
     WITH d(idx, code, name) AS (VALUES {_CODES_SQL}),
          c AS (SELECT c_custkey % 38 AS idx, count(*) AS customers FROM customer GROUP BY 1)

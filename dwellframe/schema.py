@@ -63,6 +63,12 @@ DISTRICT_BY_CODE = {
     "shizhutujiazuzhixian": "石柱县", "youyangtujiazumiaozuzhixian": "酉阳县",
     "fengduxian": "丰都县",
 }
+# The second source's district code -> district name.
+DISTRICT_BY_CODE_B = {
+    "liangjiangxinqu": "两江新区", "yuzhong": "渝中区", "nanan": "南岸区", "shapingba": "沙坪坝区",
+    "jiulongpo": "九龙坡区", "dadukou": "大渡口区", "banan": "巴南区", "beibei": "北碚区",
+    "jiangjing": "江津区", "kaizhouqu": "开州区", "rongchangqu": "荣昌区", "bishan": "璧山",
+}
 CORE_DISTRICT_CODES = [
     "yubei", "yuzhong", "nanana", "shapingba", "jiulongpo", "banan", "beibei", "dadukou",
     "bishanqu", "yongchuanqu", "wanzhouqu", "jiangjinqu", "hechuanqu", "fulingqu",
