@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,35 @@ INPUTS = ["district", "community", "total_price", "unit_price", "area", "rooms",
           "floor_type", "total_floors", "orientation", "decoration", "build_year", "status"]
 
 
-def prepared(df: DataFrame, as_of_year: int = 2026, legacy_zeros: bool = False, corrected: bool = False) -> DataFrame:
+def trimmed(df: DataFrame) -> DataFrame:
+    """The real listings within the limits of the analysis."""
+    return real_only(df).where(valid_for_analysis() & within_trim())
+
+
+def storey_fill(rows: DataFrame) -> float:
+    """Storey count for unknown ones: the exact median of the known."""
+    known = rows.select(F.when(F.col("total_floors") > 0, F.col("total_floors")).cast("double").alias("total_floors"))
+    fill = exact_median(known, "total_floors")
+    return 20.0 if fill is None else fill
+
+
+def prepared(df: DataFrame, as_of_year: int = 2026, legacy_zeros: bool = False, corrected: bool = False,
+             storeys: float | None = None) -> DataFrame:
     """Trimmed rows with filled values and ordinal codes (no target is used yet).
 
     A year of 0 means unknown and becomes 2010; with ``legacy_zeros`` it is
-    clipped to 1980 instead. Unknown storey counts take the exact median.
+    clipped to 1980 instead. Unknown storey counts take ``storeys``, else the
+    exact median.
     """
-    rows = real_only(df).where(valid_for_analysis() & within_trim())
+    rows = trimmed(df)
     c = F.col
     year = c("build_year") if legacy_zeros else F.when(c("build_year") > 0, c("build_year"))
     rows = rows.withColumn("build_year", clip(F.coalesce(year, F.lit(2010)), 1980, 2025))
     floors = c("total_floors") if legacy_zeros else F.when(c("total_floors") > 0, c("total_floors"))
     known = rows.select(floors.cast("double").alias("total_floors"))
-    if known.where(F.col("total_floors").isNull()).limit(1).count():
+    if storeys is not None:
+        floors = F.coalesce(floors.cast("double"), F.lit(storeys))
+    elif known.where(F.col("total_floors").isNull()).limit(1).count():
         fill = exact_median(known, "total_floors")
         floors = F.coalesce(floors.cast("double"), F.lit(20.0 if fill is None else fill))
     return rows.withColumns({
@@ -65,13 +83,28 @@ def target_encode(df: DataFrame, fit_on: str = "train", target: str = "unit_pric
     districts take the median target, small communities their district's code.
     """
     basis = df.where(~F.col("is_test")) if fit_on == "train" else df
+    return with_means(df, target_means(basis, target, district_min, community_min))
+
+
+@dataclass
+class Means:
+    """Mean target per district and community, and the code of a place without one."""
+
+    district: DataFrame
+    community: DataFrame
+    fallback: float | None
+
+
+def target_means(basis: DataFrame, target: str = "unit_price", district_min: int = 5, community_min: int = 3) -> Means:
     fallback = exact_median(basis, target)
-    district = grouped_mean(basis, "district", target, district_min).select(
-        "district", F.col("mean").alias("_dm"))
-    community = grouped_mean(basis, "community", target, community_min).select(
-        "community", F.col("mean").alias("_cm"))
-    rows = df.join(district, "district", "left").join(community, "community", "left")
-    code = F.coalesce("_dm", F.lit(fallback))
+    district = grouped_mean(basis, "district", target, district_min).select("district", F.col("mean").alias("_dm"))
+    community = grouped_mean(basis, "community", target, community_min).select("community", F.col("mean").alias("_cm"))
+    return Means(district, community, fallback)
+
+
+def with_means(df: DataFrame, means: Means) -> DataFrame:
+    rows = df.join(means.district, "district", "left").join(means.community, "community", "left")
+    code = F.coalesce("_dm", F.lit(means.fallback))
     return rows.withColumns({"district_encoded": code, "community_encoded": F.coalesce(F.col("_cm"), code)}).drop("_dm", "_cm")
 
 
@@ -102,7 +135,7 @@ def standardise(df: DataFrame, columns: list[str], basis: DataFrame | None = Non
 def feature_table(df: DataFrame, key: str, as_of_year: int = 2026, fit_on: str = "train",
                   legacy_zeros: bool = False) -> DataFrame:
     """All features; the trimmed input is written once because several passes read it."""
-    base = stage(real_only(df).where(valid_for_analysis() & within_trim()), "features")
+    base = stage(trimmed(df), "features")
     rows = split_by_hash(prepared(base, as_of_year, legacy_zeros), key)
     return target_encode(rows, fit_on)
 
@@ -112,7 +145,8 @@ def folded_features(df: DataFrame, key: str, folds: int = 5, as_of_year: int = 2
 
     Codes are fitted on the other folds only, so no fold sees its own targets.
     """
-    base = stage(real_only(df).where(valid_for_analysis() & within_trim()), "features")
+    base = stage(trimmed(df), "features")
     rows = fold_by_hash(split_by_hash(prepared(base, as_of_year), key).where(~F.col("is_test")), key, folds)
     rows = stage(rows, "folds")
-    return [target_encode(rows.withColumn("is_test", F.col("fold") == i)) for i in range(folds)]
+    # Each is written once, as the fits of every target read it many times.
+    return [stage(target_encode(rows.withColumn("is_test", F.col("fold") == i)), "fold") for i in range(folds)]

@@ -275,6 +275,30 @@ def replace_slice(spark, sf):
         F.count("*").alias("rows"), F.sum("version").alias("versions"))
 
 
+@query("write_counts", "S8 S15", on_listings("""
+    WITH s AS (SELECT area <= 40 AS small, status, status = 'on_sale' AND area > 100 AS hit, source = 'building' AS gone FROM listings)
+    SELECT 'insert' AS statement, count(*) AS written, count(*) AS changed FROM s
+    UNION ALL SELECT 'insert again', count(*), count(*) FROM s WHERE small
+    UNION ALL SELECT 'update', count(*) + count(*) FILTER (small), count(*) FILTER (hit) + count(*) FILTER (hit AND small) FROM s
+    UNION ALL SELECT 'update again', count(*) + count(*) FILTER (small), 0 FROM s
+    UNION ALL SELECT 'delete', count(*) FILTER (NOT gone) + count(*) FILTER (small AND NOT gone),
+                     count(*) FILTER (gone) + count(*) FILTER (small AND gone) FROM s
+    UNION ALL SELECT 'stored', count(*) FILTER (NOT gone) + count(*) FILTER (small AND NOT gone),
+                     count(*) FILTER (hit AND NOT gone) + count(*) FILTER (hit AND small AND NOT gone) FROM s"""))
+def write_counts(spark, sf):
+    """Rows written and changed by each statement, as its own write saw them, next to what is stored in the end."""
+    df = listings(spark, sf, "id_key", "source", "status", "area")
+    first, second, third, last = (scratch_path(spark, "statements") for _ in range(4))
+    done = {"insert": tables.insert(df, first), "insert again": tables.insert(df.where("area <= 40"), first)}
+    sets, where = {"status": F.lit("reserved")}, F.expr("status IN ('on_sale', 'reserved') AND area > 100")
+    done["update"] = tables.update(spark.read.parquet(first), second, sets, where)
+    done["update again"] = tables.update(spark.read.parquet(second), third, sets, where)
+    done["delete"] = tables.delete(spark.read.parquet(third), last, F.col("source") == "building")
+    rows = spark.createDataFrame([(k, v.written, v.changed) for k, v in done.items()], "statement string, written long, changed long")
+    return rows.unionByName(spark.read.parquet(last).agg(
+        F.lit("stored").alias("statement"), F.count("*").alias("written"), F.count_if(F.col("status") == "reserved").alias("changed")))
+
+
 @query("result_store", "S13 S14", on_listings("""
     SELECT 'district' AS analysis_type, district AS name, count(*) AS n FROM listings GROUP BY district
     UNION ALL SELECT 'source', source, count(*) FROM listings GROUP BY source"""))

@@ -1,13 +1,19 @@
 """Regression, clustering and profile queries."""
 
-from pyspark.sql import Window
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellframe.operators import clustering as cl
 from dwellframe.operators import features as ft
 from dwellframe.operators import models as md
+from dwellframe.operators import stages
 from dwellframe.operators import statistics as st
-from dwellframe.plans.features import feature_input
+from dwellframe.plans.features import PREPARED, YEAR, feature_input
 from dwellframe.plans.registry import query
 from dwellframe.plans.views import listings, on_listings, table
 from dwellframe.schema import CLUSTER_FEATURES, MODEL_FEATURES
@@ -192,10 +198,22 @@ def gbt_scores(spark, sf):
 TARGETS = ("total_price", "unit_price")
 
 
+FITS_AT_ONCE = 5
+
+
 def _cv(spark, sf, model):
-    """R² of a full-size model per target over five folds; each fold is encoded by its own training rows."""
+    """R² of a full-size model per target over five folds; each fold is encoded by its own training rows.
+
+    A fit is many short jobs, so several fits run at once and share the executors.
+    """
     folds = ft.folded_features(feature_input(spark, sf), "id_key")
-    scores = [(target, i, float(md.score(rows, model(target)))) for target in TARGETS for i, rows in enumerate(folds)]
+
+    def fit(job):
+        target, i = job
+        return target, i, float(md.score(folds[i], model(target)))
+    jobs = [(target, i) for target in TARGETS for i in range(len(folds))]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        scores = list(pool.map(inheritable_thread_target(spark)(fit), jobs))
     frame = spark.createDataFrame(scores, "target string, fold int, r2 double")
     return frame.groupBy("target").agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"))
 
@@ -271,6 +289,36 @@ def elbow_falls(spark, sf):
                        F.coalesce(F.col("inertia") < before, F.lit(True)).alias("falls"))
 
 
+_MODELS = {
+    "forest": lambda: (stages.price_pipeline(md.forest("total_price")), "predicted"),
+    "boosting": lambda: (stages.price_pipeline(md.boosting("unit_price")), "predicted"),
+    "kmeans": lambda: (stages.segment_pipeline(), "cluster"),
+}
+
+
+@query("saved_models", "S18 M2 M4 M5 M6 M11", on_listings(f"""
+    WITH {PREPARED.format(year=YEAR)}, m AS (SELECT unnest(['forest', 'boosting', 'kmeans']) AS model)
+    SELECT model, count(*) AS rows, count(*) FILTER (is_test) AS held_out, 0 AS differing, 0 AS unpredicted FROM m, prepared GROUP BY model"""))
+def saved_models(spark, sf):
+    """Whole pipelines fitted on the training side, saved, loaded and applied to raw listings, next to the fitted ones."""
+    raw = stage(ft.split_by_hash(feature_input(spark, sf), "id_key"), "raw")
+
+    def run(name):
+        pipeline, output = _MODELS[name]()
+        fitted, path = pipeline.fit(raw.where(~F.col("is_test"))), scratch_path(spark, "pipeline")
+        fitted.write().save(path)
+        own = fitted.transform(raw).select("id_key", F.col(output).alias("own"))
+        loaded = PipelineModel.load(path).transform(raw).select("id_key", "is_test", F.col(output).alias("loaded"))
+        return loaded.join(own, "id_key", "left").agg(
+            F.lit(name).alias("model"), F.count("*").alias("rows"), F.count_if("is_test").alias("held_out"),
+            F.count_if(~F.col("own").eqNullSafe(F.col("loaded"))).cast("int").alias("differing"),
+            F.count_if(F.col("loaded").isNull()).cast("int").alias("unpredicted"))
+    md.use_checkpoints(spark)
+    with ThreadPoolExecutor(len(_MODELS)) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(run), _MODELS))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("pca", "M13 M19")
 def pca(spark, sf):
     scaled = _scaled(spark, sf)

@@ -1,5 +1,8 @@
 """Search, paging and nearest-listing queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellframe.functions import housing, text
@@ -8,9 +11,11 @@ from dwellframe.functions.numbers import percent
 from dwellframe.operators import filters as fl
 from dwellframe.operators import statistics as st
 from dwellframe.operators import topk
+from dwellframe.operators.ranked import RankIndex
 from dwellframe.plans.registry import query
 from dwellframe.plans.views import crawl_log, listings, on_listings, on_log, table
 from dwellframe.schema import CORE_DISTRICT_CODES, DISTRICT_BY_CODE, DISTRICT_BY_CODE_B, DISTRICT_TIERS, SOURCE_A, SOURCE_B
+from dwellframe.session import scratch_path
 
 PRICED = "total_price > 0 AND total_price < 5000"
 
@@ -54,6 +59,20 @@ def search_page_keyset(spark, sf):
     return topk.page_after(df, "id_key", "5", 20).select("id_key", "rooms", "area")
 
 
+DEEP_PAGES = (1, 2, 100, 1000, 10000)
+
+
+@query("deep_pages", "O1 A34", on_listings(f"""
+    WITH r AS (SELECT id_key, rooms, area, row_number() OVER (ORDER BY id_key) - 1 AS ahead FROM listings WHERE {PRICED})
+    SELECT cast(ahead // 20 + 1 AS int) AS page_no, id_key, rooms, area FROM r WHERE ahead // 20 + 1 IN {DEEP_PAGES}"""))
+def deep_pages(spark, sf):
+    """Early and deep pages from one rank index; pages beyond the last row are empty."""
+    df = fl.search(listings(spark, sf, "id_key", "rooms", "area", "total_price")).select("id_key", "rooms", "area")
+    index = RankIndex.build(df, scratch_path(spark, "ranks"), "id_key")
+    pages = [index.page(no, 20).withColumn("page_no", F.lit(no)) for no in DEEP_PAGES]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("point_lookup", "P5 S8", "SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_partkey = 42")
 def point_lookup(spark, sf):
     return topk.by_id(table(spark, sf, "part"), "p_partkey", 42).select(

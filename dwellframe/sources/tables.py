@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dwellframe.functions.text import prefix
@@ -52,6 +55,52 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+@dataclass(frozen=True)
+class WriteCount:
+    """Rows written, and how many of them the statement inserted or changed, or left out."""
+
+    written: int
+    changed: int
+
+
+def _write_counted(df: DataFrame, path: str, mode: str, changed: Column, kept: Column) -> WriteCount:
+    """Write the rows that ``kept`` holds for; the write itself observes the counts, so nothing is read twice."""
+    seen = Observation()
+    marked = df.withColumn("_kept", F.coalesce(kept, F.lit(False)))
+    counted = marked.observe(seen, F.count_if("_kept").alias("written"), F.count_if(changed).alias("changed"))
+    counted.where("_kept").drop("_kept").write.mode(mode).parquet(path)
+    return WriteCount(seen.get["written"], seen.get["changed"])
+
+
+def insert(df: DataFrame, path: str) -> WriteCount:
+    """Append rows."""
+    return _write_counted(df, path, "append", F.lit(True), F.lit(True))
+
+
+def update(df: DataFrame, path: str, sets: dict[str, Column], where: Column) -> WriteCount:
+    """Write the next version of a table, with ``sets`` applied to the rows that ``where`` holds for.
+
+    A row counts as changed only if one of its values becomes another one. The
+    values are those before the statement on every right-hand side. ``path``
+    must not be the folder that ``df`` reads.
+    """
+    hit = F.coalesce(where, F.lit(False))
+    new = {f"_n_{c}": F.when(hit, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in sets.items()}
+    differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in sets])
+    rows = df.withColumns(new).withColumn("_differs", differs)
+    out = rows.select(*[F.col(f"_n_{c}").alias(c) if c in sets else F.col(c) for c in df.columns], "_differs")
+    seen = Observation()
+    counted = out.observe(seen, F.count("*").alias("written"), F.count_if("_differs").alias("changed"))
+    counted.drop("_differs").write.mode("errorifexists").parquet(path)
+    return WriteCount(seen.get["written"], seen.get["changed"])
+
+
+def delete(df: DataFrame, path: str, where: Column) -> WriteCount:
+    """Write the next version of a table without the rows that ``where`` holds for; those count as changed."""
+    gone = F.coalesce(where, F.lit(False))
+    return _write_counted(df, path, "errorifexists", gone, ~gone)
+
+
 def store_result(rows: DataFrame, path: str, analysis_type: str, create_time: Column) -> None:
     """Keep one result set per analysis type; rows are stored as JSON payloads."""
     payload = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
