@@ -173,7 +173,7 @@ def test_search_finds_what_brute_force_finds(spark):
     rng = np.random.default_rng(3)
     rows = [(i, np.float32(rng.standard_normal(16)).tolist()) for i in range(3000)]
     want = brute_nearest(rows, 5)
-    got = search.nearest(vectors(spark, [(*r, "x") for r in rows]).repartition(3), F.col("vec_id") % 50 == 0, least=100, share=0.1).collect()
+    got = search.nearest(vectors(spark, [(*r, "x") for r in rows]).repartition(3), F.col("vec_id") % 50 == 0, share=0.1).collect()
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -196,6 +196,33 @@ def test_search_edge_cases(spark):
     assert search.nearest(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 16))
+    size = np.where(np.arange(40) % 3 == 0, 1e200, np.where(np.arange(40) % 3 == 1, 1e-200, 1.0))
+    rows = [(i, (base[i] * size[i]).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.nearest(df, F.col("vec_id") % 50 == 0, k=5, share=1.0).orderBy("rank").collect()
+    want = brute_nearest([(i, base[i]) for i in range(40)], 5)[0]
+    assert [r["vec_id"] for r in got] == [i for i, _ in want]
+    assert [r["score"] for r in got] == pytest.approx([s for _, s in want])
+
+
+def test_search_over_many_lanes_and_chunks(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 40), ("QUERY_ROWS", 3), ("CHUNK_BYTES", 16 * 8 * 2)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(6)
+    hot = np.float32(rng.standard_normal(16)).tolist()
+    rows = [(i, hot if i % 3 == 0 else np.float32(rng.standard_normal(16)).tolist()) for i in range(400)]
+    got = search.nearest(vectors(spark, [(*r, "x") for r in rows]).repartition(3), F.col("vec_id") % 50 == 0, share=1.0).collect()
+    want = brute_nearest(rows, 5)
+    assert len(got) == 5 * len(want)
+    for r in got:
+        i, s = want[r["query_id"]][r["rank"] - 1]
+        assert r["score"] == pytest.approx(s)
+        assert r["vec_id"] == i or r["query_id"] % 3 == 0  # sums of copies differ in the last bit in the brute force
+
+
 def test_footrule_of_postings():
     rng = np.random.default_rng(1)
     length, pivots = 4, 9
