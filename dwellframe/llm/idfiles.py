@@ -24,7 +24,7 @@ from dwellframe.llm import files, rangecoder, tokens
 from dwellframe.llm.common import Scratch
 from dwellframe.session import scratch_path
 
-GROUP_IDS = 16 << 20  # ids coded together: 8192 blocks, about 150 MB in a task
+GROUP_IDS = 8 << 20  # ids coded together: 2048 blocks, about 150 MB in a task
 MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
                       ("n_bytes", pa.int64())])
 DOCS = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()),
