@@ -133,3 +133,11 @@ def test_urls(spark):
 def test_element_text_is_found_by_class(spark):
     html = F.lit('<div class="x-title">no</div><p class="big title new"><span>三</span><span>室 </span>&amp; more</p>')
     assert one(spark, a=markup.element_text(html, "title")).a == "三室& more"
+
+
+def test_absent_numbers_are_not_parsed(spark):
+    from dwellframe.functions import housing as h
+    df = spark.createDataFrame([("3室",), ("none",), ("",), (None,)], "t string")
+    found = df.select(h.count_before(F.col("t"), h.ROOMS).alias("n"))
+    assert [r["n"] for r in found.collect()] == [3, 0, 0, 0]
+    assert "nullif" in found._jdf.queryExecution().analyzed().toString()
