@@ -8,6 +8,7 @@ from dwellframe.operators import synth as sy
 from dwellframe.operators.filters import real_only
 from dwellframe.plans.registry import query
 from dwellframe.plans.views import listings, on_listings
+from dwellframe.session import stage
 
 _COLS = ["id_key", "district", "community", "unit_price", "total_price", "area", "rooms", "halls", "bathrooms",
          "floor_type", "orientation", "decoration", "total_floors", "build_year", "lng", "lat"]
@@ -67,7 +68,8 @@ def synthetic_draws(spark, sf):
 
 def _synthetic(spark, sf):
     df = listings(spark, sf, *_COLS)
-    real = df.withColumn("fingerprint", stable_key(F.col("id_key")))
+    # Written once: the joins behind a listing are not run again by each of the passes over them.
+    real = stage(df.withColumn("fingerprint", stable_key(F.col("id_key"))).drop("id_key"), "real")
     total = real.count()
     return sy.generate(real, total + total // 4)
 

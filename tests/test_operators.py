@@ -237,6 +237,21 @@ def test_synthetic_rows_are_tagged_new_and_complete(spark):
     made.unpersist()
 
 
+def test_synthetic_rows_are_spread_and_looked_up_without_a_merge(spark):
+    quota = spark.createDataFrame([("d1", 60_000)], "district string, quota long")
+    sizes = [len(x) for x in synth.number_rows(quota).rdd.glom().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 60_000
+    real = spark.range(100).select(
+        F.lit("d1").alias("district"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("community"),
+        *[F.lit(v).alias(k) for k, v in dict(
+            unit_price=9000.0, total_price=90.0, area=100.0, rooms=3, halls=1, bathrooms=1, floor_type="中层", orientation="南",
+            decoration="精装", total_floors=20, build_year=2010, lng=106.5, lat=29.5).items()])
+    rows = synth.draw(synth.number_rows(quota), synth.district_profile(real), synth.pick_tables(real),
+                      synth.communities(real), 42)
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 60_000 and rows.select("community").distinct().count() == 7
+
+
 def test_synthetic_collisions_are_replaced(spark):
     df = spark.createDataFrame([(f"d{i % 2}", "c", 1e4, 100.0, 90.0, 2, 1, 1, "低层", "南", "精装", 18, 2005, 0.0, 0.0) for i in range(100)],
                                "district string, community string, unit_price double, total_price double, area double, rooms int, halls int, bathrooms int, "
