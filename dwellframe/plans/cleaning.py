@@ -10,7 +10,7 @@ from dwellframe.operators import statistics as st
 from dwellframe.plans.registry import query
 from dwellframe.plans.views import crawl_log, dealt_listings as listings, on_listings, on_log, table
 from dwellframe.schema import RAW_FIELDS_A, RAW_FIELDS_B
-from dwellframe.session import scratch_path
+from dwellframe.session import compiled_methods, scratch_path
 from dwellframe.sources import feeds, tables
 
 
@@ -145,7 +145,8 @@ def dedupe_fingerprint(spark, sf):
            (SELECT count(*) FROM s) - (SELECT count(*) FROM final) AS fingerprint_dup"""))
 def clean_stats(spark, sf):
     path = scratch_path(spark, "clean-stats")
-    tables.stats_json(dedupe.clean_metrics(_repaired(spark, sf), ["id_key"]), path)
+    with compiled_methods(spark):
+        tables.stats_json(dedupe.clean_metrics(_repaired(spark, sf), ["id_key"]), path)
     return spark.read.schema(", ".join(f"{m} bigint" for m in dedupe.METRICS)).json(path)
 
 

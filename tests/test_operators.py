@@ -47,6 +47,16 @@ def test_feed_files_to_clean_rows(spark, tmp_path):
     assert m.total_read - m.intra_file_dup_title - m.cross_file_dup - m.fingerprint_dup == m.final_count
 
 
+def test_metrics_repair_main_rows_alone_for_their_count(spark):
+    rows = spark.createDataFrame([(0, "f", "a", "1"), (0, "f", "a", "2"), (1, "g", "a", "3"), (1, "g", "b", "4"), (2, "h", "b", "5")],
+                                 "feed_rank int, feed_file string, title string, id string")
+    fixed = F.when(F.col("feed_rank") == 0, F.col("id") == "1").otherwise(F.raise_error("not to be read").cast("boolean"))
+    rows = rows.select("*", F.lit("c").alias("community"), F.lit("d").alias("district"), F.lit("s").alias("source"),
+                       F.lit("1").alias("lng"), F.col("id").alias("fingerprint"), fixed.alias("price_fixed"))
+    m = dedupe.clean_metrics(rows, ["id"]).first()
+    assert (m.total_read, m.price_fixed, m.cross_file_dup, m.intra_file_dup_title, m.final_count) == (5, 1, 2, 1, 2)
+
+
 def test_file_order_decides(spark, tmp_path):
     rows = [dict(id=str(i), title=f"t{i % 50}", total_price="80", area="100") for i in range(5000)]
     write_csv(tmp_path / "anjuke_m_x.csv", RAW_FIELDS_A, rows)
