@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECES = 250_000  # pieces of a generation; a worker keeps two, and pieces in use pass from the old to the new
+RUN = 100  # new pieces encoded as one text: fewer calls' results than one by one, and no long ones
 BATCH_BYTES = 8 << 20  # text encoded at once
 # A blank after white space, by any definition of it, and before more or the end.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -39,35 +40,60 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain_text  # the strings of special tokens are ordinary text
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_text and t.special))
         self.odd = "|".join([_ODD, *map(_literal, added)])
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        # Byte-level: a character of a token's name is a byte of text.
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that each begin with a blank and the start of a word, ``RUN`` pieces encoded as one text.
+
+        Their ids are told apart by the bytes that each id stands for.
+        """
+        found = self._encode(["".join(pieces[lo:lo + RUN]) for lo in range(0, len(pieces), RUN)])
+        flat = np.fromiter(chain.from_iterable(found), self.dtype, sum(map(len, found)))
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        token_ends = np.cumsum(self.widths[flat])
+        cuts = np.searchsorted(token_ends, ends)
+        if len(flat) != cuts[-1] + 1 or (token_ends[cuts] != ends).any():
+            return self._alone(pieces)
+        raw, cuts = flat.tobytes(), ((cuts + 1) * flat.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x, dtype=self.dtype).tobytes() for x in self._encode(pieces)]
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces as bytes."""
+        """The ids of distinct pieces as bytes; a piece is given without its blank, and the first of a text with one."""
         if len(self.new) > PIECES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         out = list(map(new.get, pieces))
-        missing = [i for i, x in enumerate(out) if x is None]
-        unknown = []
-        for i in missing:
-            known = old.get(pieces[i])
-            if known is None:
-                unknown.append(i)
+        words, others = [], []
+        for i, x in enumerate(out):
+            if x is not None:
+                continue
+            piece = pieces[i]
+            known = old.get(piece)
+            if known is not None:
+                new[piece] = out[i] = known
+            elif piece and not piece[0].isspace():
+                words.append(i)
             else:
-                new[pieces[i]] = out[i] = known
-        for lo in range(0, len(unknown), 20_000):
-            part = unknown[lo:lo + 20_000]
-            found = self._encode([pieces[i] for i in part])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())).tobytes()
-            ends = (np.cumsum(sizes) * self.dtype().itemsize).tolist()
-            for i, a, b in zip(part, [0, *ends], ends):
-                new[pieces[i]] = out[i] = flat[a:b]
+                others.append(i)
+        for lo in range(0, len(words), 20_000):
+            part = words[lo:lo + 20_000]
+            for i, ids in zip(part, self._joined([" " + pieces[i] for i in part])):
+                new[pieces[i]] = out[i] = ids
+        for lo in range(0, len(others), 20_000):
+            part = others[lo:lo + 20_000]
+            for i, ids in zip(part, self._alone([p[1:] if p[:1] == " " else " " + p for p in map(pieces.__getitem__, part)])):
+                new[pieces[i]] = out[i] = ids
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,23 +109,22 @@ class Encoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = parts.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        # Joined and split again, which is faster than making the strings one by one; no piece holds a blank.
+        own = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), pa.scalar(" ", pa.large_string()))[0].as_py()
+        pieces = joined.split(" ") if len(own) else []
         codes = coded.indices.to_numpy()
         firsts = offsets[:-1]
         lead = np.unique(codes[firsts]) if len(firsts) else np.empty(0, dtype=np.int64)
-        own = self._pieces([" " + p for p in pieces] + [pieces[i] for i in lead])
-        pool = np.frombuffer(b"".join(own), self.dtype)
-        pool_sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype().itemsize
-        pool_starts = np.cumsum(pool_sizes) - pool_sizes
-        slots = codes.astype(np.int64)
-        at_lead = np.zeros(len(pieces), dtype=np.int64)
+        own = pa.array(self._pieces(pieces + [" " + pieces[i] for i in lead]), pa.large_binary())
+        at_lead = np.zeros(len(pieces), dtype=codes.dtype)
         at_lead[lead] = len(pieces) + np.arange(len(lead))
+        slots = codes.copy()
         slots[firsts] = at_lead[codes[firsts]]
-        sizes = pool_sizes[slots]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(pool_starts[slots] - (ends - sizes), sizes) + np.arange(total)]
-        text_ends = np.concatenate([[0], ends])[offsets[1:]]
+        found = own.take(pa.array(slots))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1) // self.dtype().itemsize
+        ids = np.frombuffer(found.buffers()[2] or b"", self.dtype, int(ends[-1]))
+        text_ends = ends[offsets[1:]]
         if whole:
             return _insert(ids, text_ends, whole, self.dtype)
         return ids, text_ends

@@ -44,6 +44,17 @@ def test_encoder_forgets_old_pieces(monkeypatch):
     assert len(encoder.new) + len(encoder.old) < 200
 
 
+def test_new_pieces_are_encoded_many_at_a_time():
+    encoder, given_texts = tokens.Encoder(PATH), []
+    encode = encoder._encode
+    encoder._encode = lambda texts: given_texts.extend(texts) or encode(texts)
+    words = [f"{c}{i}{end}" for i in range(700) for c in ("w", "é", "漢", ".") for end in ("", "\n", "'s")]
+    texts = [" ".join(words), "\n x  y", "", None]
+    ids, ends = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == brute.token_ids(texts)
+    assert len(given_texts) < len(words) // 20
+
+
 # Range coder
 
 @pytest.mark.parametrize("block", [16, 2048, 4096])
